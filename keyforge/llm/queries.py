@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, mixing
+from .decontaminate import op7_decontaminate
 from .jaccard_join import op2_jaccard_join
+from .mixing import op4_mixing
+from .secrets import op6_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join,)}
+    return {f.__name__: f for f in (op2_jaccard_join, op4_mixing, op6_secrets, op7_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL}
