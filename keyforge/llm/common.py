@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this host import the package from where the driver has it."""
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in have:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, have)])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
@@ -37,11 +51,12 @@ def small(df: DataFrame, bytes_per_row: int, limit: int | None = None) -> DataFr
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) of the rows that have both."""
+    importable(docs.sparkSession)
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return got.filter("doc_id IS NOT NULL AND text IS NOT NULL")
 

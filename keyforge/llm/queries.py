@@ -10,11 +10,13 @@ from . import decontaminate, mixing
 from .decontaminate import op7_decontaminate
 from .jaccard_join import op2_jaccard_join
 from .mixing import op4_mixing
+from .quality import op1_quality
 from .secrets import op6_secrets
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op4_mixing, op6_secrets, op7_decontaminate)}
+    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op4_mixing, op5_toxicity, op6_secrets, op7_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

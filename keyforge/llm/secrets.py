@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import table, texts
+from .common import importable, table, texts
 
 #: Production parameters: shortest candidate; at most this many documents give ordinary words to train on, and so many labelled strings of each class.
 LEAST, TRAIN_DOCS, TRAIN_STRINGS = 16, 400, 20_000
@@ -230,6 +230,7 @@ def redact(docs: DataFrame, found: Detector | None = None) -> DataFrame:
                     part = part.set_column(names.index("n_chars"), field, pc.if_else(pa.array(mask), pc.utf8_length(text).cast(field.type), part.column("n_chars")))
                 yield part
 
+    importable(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
