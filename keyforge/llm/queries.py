@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, warc
 from .decontaminate import op7_decontaminate
+from .embedding_dedup import op8_embedding_dedup
 from .jaccard_join import op2_jaccard_join
 from .mixing import op4_mixing
 from .quality import op1_quality
 from .secrets import op6_secrets
 from .toxicity import op5_toxicity
+from .warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op4_mixing, op5_toxicity, op6_secrets, op7_decontaminate)}
+    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op4_mixing, op5_toxicity, op6_secrets, op7_decontaminate, op8_embedding_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL}
+    return {"op4_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
