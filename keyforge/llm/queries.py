@@ -13,12 +13,26 @@ from .jaccard_join import op2_jaccard_join
 from .mixing import op4_mixing
 from .quality import op1_quality
 from .secrets import op6_secrets
+from .substring_dedup import op9_substring_dedup
+from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op5_toxicity
 from .warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_jaccard_join, op4_mixing, op5_toxicity, op6_secrets, op7_decontaminate, op8_embedding_dedup, op10_warc)}
+    found = (
+        op1_quality,
+        op2_jaccard_join,
+        op3_suffix_dedup,
+        op4_mixing,
+        op5_toxicity,
+        op6_secrets,
+        op7_decontaminate,
+        op8_embedding_dedup,
+        op9_substring_dedup,
+        op10_warc,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
