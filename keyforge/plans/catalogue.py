@@ -1,4 +1,7 @@
-"""Named queries and the SQL that they must agree with."""
+"""Named queries and the SQL that they must agree with.
+
+Each query takes (spark, sf_dir); its SQL runs on the same Parquet tables in DuckDB.
+"""
 
 from __future__ import annotations
 
@@ -6,5 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_cdc, queries_keys, queries_meta, queries_metrics
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+for _module in (queries_meta, queries_keys, queries_cdc, queries_metrics):
+    for _name, (_query, _sql) in _module.CATALOGUE.items():
+        QUERIES[_name] = _query
+        if _sql is not None:
+            ORACLE[_name] = _sql
