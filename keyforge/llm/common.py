@@ -13,15 +13,25 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+_MALLOC = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this host import the package from where the driver has it."""
+    """Prepare the session's Python workers, which live long and are many on a host.
+
+    They import the package from where the driver has it, get batches of a few MB, and
+    return freed memory to the system instead of keeping it.
+    """
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, have)])
+        for name, value in _MALLOC.items():
+            env.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
