@@ -19,8 +19,10 @@ from . import text as T
 from .common import cut, importable, table, texts, without
 from .learn import Adam, best_threshold, labelled, sigmoid
 
-#: Production parameters: hash bits of a term, factors, terms kept at most, labelled documents to train on at most, and the seed.
-BITS, FACTORS, TERMS, TRAIN_DOCS, SEED = 40, 8, 4096, 4000, 3
+#: Least distance of the threshold from the score of no evidence.
+MARGIN = 0.15
+#: Production parameters: hash bits of a term, factors, terms kept at most, their least chi-squared, weight decay, folds for the threshold, labelled documents to train on at most, and the seed.
+BITS, FACTORS, TERMS, EVIDENCE, DECAY, FOLDS, TRAIN_DOCS, SEED = 40, 8, 4096, 20.0, 0.005, 4, 4000, 3
 _HINT = 20
 
 
@@ -62,47 +64,59 @@ def hints(vocabulary: np.ndarray) -> np.ndarray:
 
 
 def fit(terms: np.ndarray, offs: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = 40, most: int = TERMS, seed: int = SEED) -> Machine:
-    """Train on documents' distinct terms; a fifth is held out for the threshold.
+    """Train on documents' distinct terms.
 
-    The terms kept are those whose presence depends most on the label
-    (chi-squared), in at least two documents. Without both labels the machine
-    is constant: 0 for no documents, else close to the one label.
+    The terms kept are those whose presence depends most on the label (chi-squared, EVIDENCE
+    at least). The threshold is chosen on scores that machines trained on
+    the other folds give, terms and all; it is MARGIN above the score of a document
+    without known terms at least (or 0.5). Without both labels, or any
+    term with evidence, the machine is constant, and rejects nothing unless all labels do.
     """
+    n, rows = len(y), np.repeat(np.arange(len(y)), np.diff(offs))
+    machine = _train(terms, rows, y, np.arange(n), factors, epochs, most, seed)
+    fold = np.random.default_rng(seed).permutation(n) % FOLDS
+    score = np.zeros(n)
+    for k in range(FOLDS):
+        m = _train(terms, rows, y, np.flatnonzero(fold != k), factors, epochs, most, seed)
+        score[fold == k] = sigmoid(m.logits(*known(terms, rows, m.terms, hints(m.terms)), n))[fold == k]
+    machine.threshold = max(best_threshold(score, y), min(0.5, float(sigmoid(np.array(machine.w0))) + MARGIN))
+    return machine
+
+
+def _train(terms: np.ndarray, rows: np.ndarray, y: np.ndarray, train: np.ndarray, factors: int, epochs: int, most: int, seed: int) -> Machine:
+    """A machine from the documents `train`; rows has the document of each term."""
     rng = np.random.default_rng(seed)
-    n = len(y)
-    rows = np.repeat(np.arange(n), np.diff(offs))
-    if not 0 < y.sum() < n:
-        return Machine(np.zeros(1, np.uint64), 8.0 if n and y.all() else -8.0, np.zeros(1), np.zeros((1, factors)), 0.5)
-    all_terms, inv = np.unique(terms, return_inverse=True)
-    df, pos = np.bincount(inv), np.bincount(inv, y[rows])
-    rate = y.mean()
+    n = len(train)
+    none = Machine(np.zeros(1, np.uint64), 8.0 if n and y[train].all() else -8.0, np.zeros(1), np.zeros((1, factors)), 0.5)
+    if not n or not 0 < y[train].sum() < n:
+        return none
+    used = np.isin(rows, train)
+    all_terms, inv = np.unique(terms[used], return_inverse=True)
+    df, pos = np.bincount(inv), np.bincount(inv, y[rows[used]])
+    rate = y[train].mean()
     chi = (pos - df * rate) ** 2 / (df * rate * (1 - rate)) / np.maximum(1 - df / n, 1 / n)
-    chi[df < 2] = 0
     kept = np.sort(np.argsort(-chi, kind="stable")[:most])
-    kept = kept[chi[kept] > 0] if (chi[kept] > 0).any() else kept[:1]
+    kept = kept[(chi[kept] >= EVIDENCE) & (df[kept] > 1)]
+    if not len(kept):
+        return none
     vocabulary = all_terms[kept]
     rows, at = known(terms, rows, vocabulary, hints(vocabulary))
-    first = np.searchsorted(rows, np.arange(n + 1))
-    held = rng.permutation(n) < max(1, n // 5)
-    train = np.flatnonzero(~held)
-    weight = np.where(y == 1, 0.5 / max(y[train].mean(), 1e-6), 0.5 / max(1 - y[train].mean(), 1e-6))
+    first = np.searchsorted(rows, np.arange(len(y) + 1))
+    weight = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
     p = {"w0": np.zeros(1), "w": np.zeros(len(kept)), "v": rng.normal(0, 0.05, (len(kept), factors))}
-    adam = Adam(p, 0.02, {"w": 0.02, "v": 0.02})
+    adam = Adam(p, 0.02, {"w": DECAY, "v": DECAY})
     for _ in range(epochs):
-        for b in np.array_split(rng.permutation(train), max(1, len(train) // 64)):
+        for b in np.array_split(rng.permutation(train), max(1, n // 64)):
             size = first[b + 1] - first[b]
             r = np.repeat(np.arange(len(b)), size)
             i = at[np.repeat(first[b] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-            m = Machine(vocabulary, p["w0"][0], p["w"], p["v"], 0.5)
-            g = weight[b] * (sigmoid(m.logits(r, i, len(b))) - y[b]) / len(b)
-            sums = np.stack([np.bincount(r, p["v"][i, f], len(b)) for f in range(factors)], 1)
+            g = weight[b] * (sigmoid(Machine(vocabulary, p["w0"][0], p["w"], p["v"], 0.5).logits(r, i, len(b))) - y[b]) / len(b)
             grads = {"w0": g.sum(keepdims=True), "w": np.bincount(i, g[r], len(kept)), "v": np.zeros_like(p["v"])}
             for f in range(factors):
-                grads["v"][:, f] = np.bincount(i, g[r] * (sums[r, f] - p["v"][i, f]), len(kept))
+                x = p["v"][i, f]
+                grads["v"][:, f] = np.bincount(i, g[r] * (np.bincount(r, x, len(b))[r] - x), len(kept))
             adam.step(grads)
-    m = Machine(vocabulary, float(p["w0"][0]), p["w"], p["v"], 0.5)
-    m.threshold = best_threshold(sigmoid(m.logits(rows, at, n))[held], y[held])
-    return m
+    return Machine(vocabulary, float(p["w0"][0]), p["w"], p["v"], 0.5)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
