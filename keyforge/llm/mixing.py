@@ -62,13 +62,14 @@ def _cutoffs(narrow: DataFrame, targets: DataFrame | None, share: float) -> Data
     last = narrow.filter("__tokens > 0").join(small(ends, 64), F.col("source").eqNullSafe(F.col("s")) & (F.col("__range") == F.col("end")))
     last = last.withColumn("upto", F.col("base") + F.sum("__tokens").over(Window.partitionBy("s", "end").orderBy("__order")))
     last = last.filter("upto <= rest").groupBy(F.col("s").alias("s2")).agg(F.max("__order").alias("last"))
-    return small(cut(ends.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "epochs", "end", "last")), 96)
+    got = ends.join(last, F.col("s").eqNullSafe(F.col("s2")), "left")
+    return small(cut(got.select(*(F.col(c).alias(f"__{c}") for c in ("s", "epochs", "end", "last")))), 96)
 
 
 def _taken(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    part = (F.col("__range") < F.col("end")) | ((F.col("__range") == F.col("end")) & F.coalesce(F.col("__order") <= F.col("last"), F.lit(False)))
-    got = rows.filter("__tokens > 0").join(cutoffs, F.col("source").eqNullSafe(F.col("s")))
-    return got.withColumn("__copies", F.col("epochs") + part.cast("long")).filter("__copies > 0")
+    part = (F.col("__range") < F.col("__end")) | ((F.col("__range") == F.col("__end")) & F.coalesce(F.col("__order") <= F.col("__last"), F.lit(False)))
+    got = rows.filter("__tokens > 0").join(cutoffs, F.col("source").eqNullSafe(F.col("__s")))
+    return got.withColumn("__copies", F.col("__epochs") + part.cast("long")).filter("__copies > 0")
 
 
 def sample(docs: DataFrame, labels: DataFrame, targets: DataFrame | None = None, share: float = BUDGET_SHARE) -> DataFrame:

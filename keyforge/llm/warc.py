@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, importable, shared_dir, table
 
-#: Production parameters: bytes of records in a package that is written, bytes read at once, and compression.
-PACKAGE_BYTES, READ_BYTES, LEVEL = 32 << 20, 4 << 20, 2
+#: Production parameters: bytes of records in a package that is written, bytes read at once, such reads a task, and compression.
+PACKAGE_BYTES, READ_BYTES, SPANS, LEVEL = 32 << 20, 4 << 20, 4, 2
 
 
 @dataclass
@@ -47,9 +47,9 @@ def directory(f) -> list[Member]:
     f.seek(end - back)
     tail = f.read(back)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] > len(tail):
-        at = tail.rfind(b"PK\x05\x06", 0, at)
-    if at < 0 or at + 22 > len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+        at = tail.rfind(b"PK\x05\x06", 0, at)  # the comment, which ends the file, may hold the signature
+    if at < 0:
         raise ValueError("no end of central directory")
     disk, _, _, count, size, start, _ = struct.unpack_from("<4H2LH", tail, at + 4)
     where = end - back + at  # of the end record
@@ -161,10 +161,10 @@ def scan_offsets(f, member: Member) -> list[tuple[int, int]]:
 
 
 def _json(line: bytes) -> dict | None:
-    """The JSON of a CDXJ line."""
-    at = line.find(b"{")
+    """The JSON of a CDXJ line: what follows the key and the time."""
     try:
-        return json.loads(line[at:]) if at >= 0 else None
+        found = json.loads(line.split(b" ", 2)[-1])
+        return found if isinstance(found, dict) and {"offset", "length"} <= set(found) else None
     except ValueError:
         return None
 
@@ -246,12 +246,14 @@ def read_packages(packages: DataFrame) -> DataFrame:
     Paths are of any file system that pyarrow knows, with range reads. A damaged record has an
     error and no block; a file that isn't a ZIP package, or whose archive
     members aren't stored, fails the query. Null paths are left out and equal ones
-    read once. Records that no index names are found by scanning their member.
+    read once. A package without records gives no rows. Records that no index names are found by scanning their member.
     """
     importable(packages.sparkSession)
     paths = packages.select(F.col("path").cast("string").alias("path")).filter("path IS NOT NULL").distinct()
-    spans = paths.mapInArrow(_located, "path string, offsets array<long>, lengths array<long>")
-    parts = spans.repartition("path", F.col("offsets")[0])
+    spans = cut(paths.mapInArrow(_located, "path string, offsets array<long>, lengths array<long>"))
+    # a span is a few bytes here and READ_BYTES of work: tasks are counted by spans, not by shuffled bytes
+    tasks = max(1, -(-spans.count() // SPANS))
+    parts = spans.repartition(tasks)
     return parts.mapInArrow(_read, "path string, offset long, type string, url string, headers map<string,string>, block binary, error string")
 
 
