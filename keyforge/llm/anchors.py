@@ -66,7 +66,7 @@ def with_repeats(docs: DataFrame, length: int, k: int) -> DataFrame:
     anchors = docs.mapInArrow(_anchors(length, k), "hash long, doc_id long, word int")
     again = anchors.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).filter("n > 1")
     places = cut(again.groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words")))
-    return docs.join(small(places, 128), "doc_id")
+    return docs.join(small(places, 32 + 4 * F.size("words")), "doc_id")
 
 
 def chosen(part: pa.RecordBatch, length: int, k: int):

@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast up to this estimate of its bytes; a larger one is shuffled.
@@ -54,10 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, bytes_per_row: int, limit: int | None = None) -> DataFrame:
-    """A checkpointed df, marked for broadcast if its counted rows are few enough."""
-    rows = df.count()
-    return F.broadcast(df) if rows * bytes_per_row <= (BROADCAST_BYTES if limit is None else limit) else df
+def small(df: DataFrame, row_bytes: int | Column, limit: int | None = None) -> DataFrame:
+    """A checkpointed df, marked for broadcast if its rows are small enough together.
+
+    row_bytes: bytes of a row, or an expression for them where rows hold lists.
+    """
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    total = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
