@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,13 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     Where the session names none, as in local tests, a temporary folder is set.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="keyforge-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="keyforge-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder: its lineage ends here."""
     shared_dir(df.sparkSession)

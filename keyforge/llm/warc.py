@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, importable, shared_dir, table
+from .common import cut, importable, scratch, table
 
 #: Production parameters: bytes of records in a package that is written, bytes read at once, such reads a task, and compression.
 PACKAGE_BYTES, READ_BYTES, SPANS, LEVEL = 32 << 20, 4 << 20, 4, 2
@@ -324,8 +324,7 @@ def pages_of(records: DataFrame) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pages table, put into packages in the shared folder and read back."""
-    folder = f"{shared_dir(spark).rstrip('/')}/packages-{uuid.uuid4().hex}"
-    return pages_of(read_packages(write_packages(table(spark, sf_dir, "pages"), folder)))
+    return pages_of(read_packages(write_packages(table(spark, sf_dir, "pages"), scratch(spark, "packages"))))
 
 
 SQL = "SELECT page_id, url, html FROM pages"
