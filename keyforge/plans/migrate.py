@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from ..sources import synthetic
 from ..sources.store import Store
 from ..streaming import replicate as R
 
-MAPPING, LOG = "mapping_", "run_state"
+MAPPING, LOG, WATER = "mapping_", "run_state", "high_water"
 
 
 @dataclass
@@ -83,16 +84,25 @@ class Migration:
         name = MAPPING + table
         return self.target.read(name) if self.target.exists(name) else None
 
+    def high_water(self, table: str) -> int:
+        """The largest id that the table ever had, rolled back ones too."""
+        found = 0
+        if (known := self._mapping_of(table)) is not None:
+            found = known.agg(F.coalesce(F.max("new_id"), F.lit(0))).first()[0]
+        if self.target.exists(WATER):
+            gone = self.target.read(WATER).filter(F.col("table_name") == table)
+            found = max(found, gone.agg(F.coalesce(F.max("high_water"), F.lit(0))).first()[0])
+        return found
+
     # copying
 
     def _copy_table(self, table: str, last: str | None = None) -> int:
         spec, src = self.by_name[table], self.source.read(table)
         rows = delta.resume_after(src, last)
         known = self._mapping_of(table)
-        water = 0
         if known is not None:
             rows = delta.new_rows(rows, known, table)
-            water = known.agg(F.coalesce(F.max("new_id"), F.lit(0))).first()[0]
+        water = self.high_water(table)
         parents = {c: p for c, p in spec.parents.items() if self._mapping_of(p) is not None}
         mapping = self.mapping() if parents else None
         if parents and self.on_missing == "reject":
@@ -179,7 +189,8 @@ class Migration:
     # undoing
 
     def rollback(self, table: str) -> int:
-        """Empty a target table, its mapping with it; returns its rows. Later ids go on after the largest so far only within a run."""
+        """Empty a target table, its mapping with it; returns its rows. Its ids aren't given again."""
+        self.target.append(WATER, self.spark.createDataFrame([(table, self.high_water(table))], "table_name string, high_water long"))
         n = self.target.truncate(table)
         self.target.truncate(MAPPING + table)
         self._log((table, "PENDING", {}))
@@ -218,6 +229,30 @@ def generate(spark: SparkSession, store: Store, base: int, seed: int = 42, table
     return {t: synthetic.size(t, base) for t in tables or synthetic.SHAPES}
 
 
+def full_cycle(spark: SparkSession, root: str, base: int, seed: int = 42, tables: list[str] | None = None) -> DataFrame:
+    """(scenario, n_rows, seconds, ok): generate, copy, add 1 % (at least 1) of the users, sync, validate, resume, roll back."""
+    src, dst = Store(spark, f"{root}/source"), Store(spark, f"{root}/target")
+    names = tables or list(synthetic.SHAPES)
+    m = Migration(spark, src, dst, tuple(s for s in synthetic_specs() if s.name in names))
+    out = []
+
+    def scenario(name, work, ok):
+        began = time.perf_counter()
+        n = work()
+        out.append((name, n, time.perf_counter() - began, bool(ok(n))))
+
+    made = generate(spark, src, base, seed, names)
+    added = max(1, base // 100)
+    scenario("copy", lambda: sum(m.copy().values()), lambda n: n == sum(made.values()))
+    more = synthetic.generate(spark, "users", base, seed, start=synthetic.size("users", base)).limit(added)
+    src.append("users", more)
+    scenario("sync", lambda: sum(m.sync().values()), lambda n: n == added)
+    scenario("validate", lambda: m.validate().filter("NOT valid").count(), lambda n: n == 0)
+    scenario("resume", lambda: sum(m.resume().values()), lambda n: n == 0)
+    scenario("rollback", lambda: sum(m.rollback_all().values()), lambda n: n == sum(made.values()) + added)
+    return spark.createDataFrame(out, "scenario string, n_rows long, seconds double, ok boolean")
+
+
 def synthetic_specs() -> tuple[TableSpec, ...]:
     """The specs of the synthetic tables."""
     return tuple(TableSpec(t, {"id": "uuid", **dict.fromkeys(p, "uuid"), **dict.fromkeys(o, "text")}, ("id",), p) for t, (_, _, p, o) in synthetic.SHAPES.items())

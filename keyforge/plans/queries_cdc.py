@@ -57,7 +57,7 @@ def _chains(spark, d):
 
 def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     """The feed as files, streamed twice over into a store: the same table as applying it once."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="keyforge-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="keyforge-")
     root = f"{base.rstrip('/')}/replay-{uuid4().hex}"
     store = Store(spark, f"{root}/tables")
     store.replace("customer", _target(spark, d))

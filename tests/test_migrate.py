@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from keyforge.__main__ import main
 from keyforge.functions.scalars import legacy_uuid
 from keyforge.operators import cdc
-from keyforge.plans.migrate import Migration, config, generate, synthetic_specs
+from keyforge.plans.migrate import Migration, config, full_cycle, generate, synthetic_specs
 from keyforge.schema import TableSpec
 from keyforge.sources.store import Store
 from keyforge.streaming.replicate import lag, replicate
@@ -58,6 +61,7 @@ def test_copy_sync_validate_roll_back(spark, stores):
     assert m.rollback_to("orders") == {"items": 5, "orders": 12}
     assert m.validate_rollback("orders") and not m.validate_rollback("users")
     assert m.resume() == {"orders": 12, "items": 5}
+    assert dst.read("orders").agg(F.min("id"), F.max("id")).first() == (13, 24)  # ids aren't given again
     assert sum(m.rollback_all().values()) == 15 + 12 + 5
 
 
@@ -124,5 +128,26 @@ def test_replication_applies_once_and_isolates_errors(spark, stores, tmp_path):
     assert lag(src, "users", 9) == 4
 
 
+def test_full_cycle(spark, tmp_path):
+    got = full_cycle(spark, str(tmp_path), 100, tables=["regions", "users", "profiles"])
+    assert [(r.scenario, r.ok) for r in got.collect()] == [(s, True) for s in ("copy", "sync", "validate", "resume", "rollback")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    main(["generate", "--source", a, "--count", "100"], spark)
+    spec = tmp_path / "specs.json"
+    spec.write_text(json.dumps([{"name": s.name, "columns": s.columns, "key": s.key, "parents": s.parents} for s in synthetic_specs() if s.name in ("customers", "orders")]))
+    stores = ["--source", a, "--target", b, "--specs", str(spec)]
+    for command in ("init", "copy", "status", "validate"):
+        main([command, *stores], spark)
+    main(["backup", *stores, "--name", "n"], spark)
+    main(["rollback", *stores, "--table", "orders"], spark)
+    main(["restore", *stores, "--name", "n"], spark)
+    main(["config-init"], spark)
+    assert "customers" in capsys.readouterr().out
+    assert Store(spark, b).read("orders").count() == 100
+
+
 def test_config():
     assert config("a: b # c\n# d: e\nf: g:h") == {"a": "b", "f": "g:h"}
