@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -32,8 +32,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n mod 2**64."""
     got = _tables.get(base)
     if got is None or len(got) <= n:
-        size = max(n + 1, 2 * CHUNK_BYTES)
-        got = np.full(size, base, _U)
+        got = np.full(1 << (n + 1).bit_length(), base, _U)
         got[0] = 1
         _tables[base] = got = np.multiply.accumulate(got)
     return got[: n + 1]
