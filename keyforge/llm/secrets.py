@@ -3,6 +3,11 @@
 A candidate is a run of 16 or more characters of [A-Za-z0-9_+/-]. Two order-2
 models give its log-likelihood ratio; a candidate whose ratio per character
 passes a threshold chosen on held-out labelled strings is a secret.
+
+Any other character ends a run, beyond ASCII too: quotes, spaces, dashes and
+letters of other scripts. Latin letters beyond ASCII (and accents that combine) make
+a word of the characters that they touch, up to the next of '_', '+', '/' and '-':
+that part is no candidate, what lies behind the separator is one.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ _N = len(_ALPHABET) + 1  # the last is the start
 _CODE = np.full(256, -1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 _RUN = _CODE >= 0
-_RUN[128:] = True  # letters beyond ASCII: the run is a word, and no candidate
+_SEPARATOR = np.isin(np.arange(256), [ord(c) for c in "_+/-"])
+#: Ranges of the Latin letters beyond ASCII, and of combining accents; of up to three bytes each.
+_LATIN = np.array([(0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x300, 0x36F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA787), (0xA78B, 0xA7FF), (0xAB30, 0xAB5A), (0xFB00, 0xFB06)])
 _WORDS = (
     "account action active address agent alias amount archive array asset attribute audit author average backup balance base batch begin binary block body branch bucket buffer build bundle button cache calendar callback cancel "
     "category change channel check child class client cluster code collection column command comment commit common component config connection container content context control convert cookie copy count counter create "
@@ -150,6 +157,23 @@ def detector(docs: DataFrame, most: int = TRAIN_DOCS) -> Detector:
     return train(words)
 
 
+def _latin(raw: np.ndarray) -> np.ndarray:
+    """Which bytes (and one past the end) are of Latin letters beyond ASCII."""
+    out = np.zeros(len(raw) + 1, bool)
+    at = np.flatnonzero((raw >= 0xC3) & (raw < 0xF0))
+    if len(at):
+        pad = np.append(raw, np.zeros(2, np.uint8)).astype(np.int64)
+        x, y, z = pad[at], pad[at + 1] & 0x3F, pad[at + 2] & 0x3F
+        three = x >= 0xE0
+        point = np.where(three, (x & 0xF) << 12 | y << 6 | z, (x & 0x1F) << 6 | y)
+        k = np.searchsorted(_LATIN[:, 0], point, "right") - 1
+        latin = (k >= 0) & (point <= _LATIN[k, 1])
+        for step, of in ((0, latin), (1, latin), (2, latin & three)):
+            out[np.minimum(at[of] + step, len(raw))] = True
+        out[len(raw)] = False
+    return out
+
+
 def _runs(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) in bytes of the candidates."""
     n = len(raw)
@@ -161,9 +185,13 @@ def _runs(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     s, e = np.flatnonzero(run & (~before | edge)), np.flatnonzero(before & (~run | edge))
     long = e - s >= LEAST
     s, e = s[long], e[long]
-    beyond = np.concatenate([[0], np.cumsum(raw >= 128)])
-    plain = beyond[e] == beyond[s]
-    s, e = s[plain], e[plain]
+    latin = _latin(raw)
+    left, right = ~edge[s] & latin[s - 1], ~edge[e] & latin[e]
+    if left.any() or right.any():
+        at = np.concatenate([[-1], np.flatnonzero(_SEPARATOR[raw]), [n]])
+        s, e = np.where(left, at[np.searchsorted(at, s)] + 1, s), np.where(right, at[np.searchsorted(at, e) - 1], e)
+        long = e - s >= LEAST
+        s, e = s[long], e[long]
     return np.searchsorted(offs, s, "right") - 1, s, e
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,25 @@ def test_redaction(spark):
     assert {tuple(r)[:3] for r in secrets.secrets(df, found).collect()} == {(1, 24, 20), (1, 46, 20)}
 
 
+@pytest.mark.parametrize("around", ["“{}”", "«{}»", "\u00a0{}\u00a0", "–{}—", "•{}", "password：{}。", "密钥是{}请保密", "パスワード{}です", "ключ{}", "🔑\ufe0f{}", "×{}÷", "schlüssel_{}", "{}/año", "é {} é", "ü-{}-ü"])
+def test_secrets_beside_characters_beyond_ascii(around):
+    key = "9f8e3c71b2d60a45c7e19b03"
+    found = secrets.train([], strings=4000)
+    text = around.format(key)
+    raw, offs, row, s, e, _ = secrets._found(found, pa.array(["", text, None, text]))
+    assert row.tolist() == [1, 3] and {raw[a:b].tobytes().strip(b"_-/").decode() for a, b in zip(s, e)} == {key}
+
+
+def test_words_with_letters_beyond_ascii_are_no_candidates():
+    texts = ["Donaudampfschifffahrtsgesellschaftskapitän", "é" + "a" * 20, "a" * 20 + "e\u0301", "a" * 15 + "—" + "a" * 15, "ﬁ" + "a" * 20, "a_" + "b" * 15 + "ü_" + "c" * 15, "ö"]
+    assert not len(secrets._runs(*T.buffers(pa.array(texts)))[0])
+    row, s, e = secrets._runs(*T.buffers(pa.array(["a" * 16, "é", "b" * 16, "ü_" + "c" * 16])))  # the next text's letters don't touch
+    assert row.tolist() == [0, 2, 3] and (e - s).tolist() == [16, 16, 16]
+    some = "".join(chr(c) for c in range(0x80, 0x1F00) if unicodedata.name(chr(c), "").startswith("LATIN ") and not 0x1D00 <= c < 0x1E00)
+    assert secrets._latin(np.frombuffer(some.encode(), np.uint8))[:-1].all()
+    assert not secrets._latin(np.frombuffer("aZ09_×÷“«–—•：\u00a0\u200b\ufe0fΩж中あｋ🔑".encode(), np.uint8)).any()
+
+
 def test_secrets_on_ugly_tables(spark):
     df = ugly.documents(spark)
     assert secrets.redact(df).columns == df.columns and secrets.redact(df).count() == df.count()
