@@ -6,6 +6,10 @@ s apart, so that each run of s lies within one. An item of that partition
 that a window contains to `threshold` has a Jaccard similarity of about
 threshold / (5 - threshold) with it or more, whatever the document's length: bands for
 that similarity find it. Hits are verified on the whole document's shingles.
+
+The least windows have 32 shingles, of which that holds from 8 shingles on. Smaller
+items are joined exactly, on as many of their shingles as a document that contains
+them to `threshold` can't lack all at once.
 """
 
 from __future__ import annotations
@@ -27,10 +31,20 @@ NGRAM, THRESHOLD, RECALL, LEAST = 5, 0.8, 0.999, 16
 ITEM_BYTES = 32 << 20
 
 
+#: Items of fewer shingles are joined on their shingles.
+SMALL = LEAST // 2
+
+
+def needed(total: np.ndarray, threshold: float) -> np.ndarray:
+    """Shingles of an item of `total` that a document must have."""
+    return np.maximum(np.ceil(total * threshold - 1e-9), 1).astype(int)
+
+
 class Sketch:
-    """Band keys of items and of documents' windows."""
+    """Keys of items, and band keys of documents' windows."""
 
     def __init__(self, threshold: float, recall: float):
+        self.threshold = threshold
         self.bands, self.rows = bands_for(threshold / (5 - threshold), recall, most=128)
         rng = np.random.default_rng(11)
         self.mult = rng.integers(1, 1 << 62, self.bands * self.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,8 +58,23 @@ class Sketch:
             keys[:, band] = key
         return keys
 
-    def items(self, grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Keys by item and band; an item without shingles must not be among them."""
+    def items(self, grams: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, their offsets by item): by band, or of a small item its first shingles.
+
+        An item without shingles must not be among them.
+        """
+        size = np.diff(offs)
+        first = np.where(size < SMALL, size - needed(size, self.threshold) + 1, 0)
+        to = np.concatenate([[0], np.cumsum(np.where(first > 0, first, self.bands))])
+        keys = np.zeros(to[-1], np.uint64)
+        item = np.repeat(np.arange(len(size)), np.diff(to))
+        at = np.flatnonzero(first[item])
+        keys[at] = grams[offs[item[at]] + at - to[item[at]]]
+        keys[first[item] == 0] = self._banded(grams, offs)[first == 0].reshape(-1)
+        return keys, to
+
+    def _banded(self, grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Keys by item and band."""
         level = np.ceil(np.log2(np.maximum(np.diff(offs), LEAST) / LEAST)).astype(int)
         lows = [T.reduce_rows(np.minimum, grams * m, offs, 0) for m in self.mult]
         out = np.zeros((len(level), self.bands), np.uint64)
@@ -57,7 +86,7 @@ class Sketch:
         """(row of each window, its keys by band), level by level."""
         blocks = -(-np.diff(offs) // LEAST)
         row = np.repeat(np.arange(len(blocks)), blocks)
-        if not len(row):
+        if not len(row) or not levels:
             return
         first = np.concatenate([[0], np.cumsum(blocks)])
         start = offs[:-1][row] + (np.arange(len(row)) - first[row]) * LEAST
@@ -75,9 +104,10 @@ def _known(keys: np.ndarray, sketch: Sketch, levels: int, n: int):
     """(doc_id, item_id, shared, total), where the items are at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_keys, owner, item_grams, item_offs, item_ids = keys.value
-        hint = np.zeros(1 << 16, bool)
+        item_keys, owner, small_keys, small_owner, item_grams, item_offs, item_ids = keys.value
+        hint, small_hint = np.zeros(1 << 16, bool), np.zeros(1 << 20, bool)
         hint[item_keys & np.uint64(0xFFFF)] = True
+        small_hint[small_keys & np.uint64(0xFFFFF)] = True
         for batch in batches:
             for part in T.slices(batch):
                 grams, offs = T.Words(part.column("text")).grams(n)
@@ -88,6 +118,12 @@ def _known(keys: np.ndarray, sketch: Sketch, levels: int, n: int):
                     lo, hi = np.searchsorted(item_keys, k), np.searchsorted(item_keys, k, "right")
                     for at in np.flatnonzero(hi > lo):
                         hits |= {(int(row[w[at]]), int(i)) for i in owner[lo[at] : hi[at]]}
+                if len(small_keys):
+                    g = np.flatnonzero(small_hint[grams & np.uint64(0xFFFFF)])
+                    lo, hi = np.searchsorted(small_keys, grams[g]), np.searchsorted(small_keys, grams[g], "right")
+                    row = np.searchsorted(offs, g, "right") - 1
+                    for at in np.flatnonzero(hi > lo):
+                        hits |= {(int(row[at]), int(i)) for i in small_owner[lo[at] : hi[at]]}
                 out, held = [], {}
                 ids = part.column("doc_id").to_numpy()
                 for r, i in sorted(hits):
@@ -110,23 +146,26 @@ def _item_rows(sketch: Sketch, n: int):
                 grams, offs = T.unique_by_row(*T.Words(part.column("text")).grams(n))
                 some = np.flatnonzero(np.diff(offs) > 0)
                 offs = np.append(offs[some], offs[-1])
-                keys = sketch.items(grams, offs)
+                keys, to = sketch.items(grams, offs)
                 yield pa.RecordBatch.from_pydict({
                     "item_id": part.column("item_id").take(pa.array(some)),
                     "grams": T.lists(T.signed(grams), offs),
-                    "keys": T.lists(T.signed(keys.reshape(-1)), np.arange(0, keys.size + 1, sketch.bands)),
+                    "keys": T.lists(T.signed(keys), to),
                 })
 
     return run
 
 
-def _window_keys(sketch: Sketch, levels: int, n: int):
+def _document_keys(sketch: Sketch, levels: int, small_items: bool, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch):
                 ids = part.column("doc_id").to_numpy()
-                for row, k in sketch.windows(*T.Words(part.column("text")).grams(n), levels):
+                grams, offs = T.Words(part.column("text")).grams(n)
+                for row, k in sketch.windows(grams, offs, levels):
                     yield pa.RecordBatch.from_pydict({"doc_id": np.repeat(ids[row], sketch.bands), "key": T.signed(k.reshape(-1))})
+                if small_items:
+                    yield pa.RecordBatch.from_pydict({"doc_id": np.repeat(ids, np.diff(offs)), "key": T.signed(grams)})
 
     return run
 
@@ -159,19 +198,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, threshol
     docs = texts(docs)
     items = texts(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").distinct()
     items = cut(items.mapInArrow(_item_rows(sketch, n), "item_id long, grams array<long>, keys array<long>"))
-    most, total = items.agg(F.max(F.size("grams")), F.sum(F.size("grams") + F.size("keys"))).first()
-    levels = int(np.ceil(np.log2(max(most or 1, LEAST) / LEAST))) + 1
+    least, most, total = items.agg(F.min(F.size("grams")), F.max(F.size("grams")), F.sum(F.size("grams") + F.size("keys"))).first()
+    levels = int(np.ceil(np.log2(max(most, LEAST) / LEAST))) + 1 if (most or 0) >= SMALL else 0
     schema = "doc_id long, item_id long, shared long, total long"
     if (total or 0) * 8 <= item_bytes:
         rows = items.toArrow().combine_chunks()
-        size = rows.column("grams").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, int)
+        size, each = (rows.column(name).combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, int) for name in ("grams", "keys"))
         flat = [np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in rows.column(name).chunks)]).view(np.uint64) for name in ("grams", "keys")]
-        owner = np.repeat(np.arange(rows.num_rows), sketch.bands)
+        owner = np.repeat(np.arange(rows.num_rows), each)
         order = np.argsort(flat[1], kind="stable")
-        known = docs.sparkSession.sparkContext.broadcast((flat[1][order], owner[order], flat[0], np.concatenate([[0], np.cumsum(size)]), rows.column("item_id").to_numpy()))
+        banded, small_ones = (order[(size[owner[order]] < SMALL) == is_small] for is_small in (False, True))
+        known = docs.sparkSession.sparkContext.broadcast((flat[1][banded], owner[banded], flat[1][small_ones], owner[small_ones], flat[0], np.concatenate([[0], np.cumsum(size)]), rows.column("item_id").to_numpy()))
         found = docs.mapInArrow(_known(known, sketch, levels, n), schema)
     else:
-        keys = docs.mapInArrow(_window_keys(sketch, levels, n), "doc_id long, key long").distinct()
+        keys = docs.mapInArrow(_document_keys(sketch, levels, (least or SMALL) < SMALL, n), "doc_id long, key long").distinct()
         pairs = keys.join(items.select("item_id", F.explode("keys").alias("key")), "key").select("doc_id", "item_id").distinct()
         full = docs.join(pairs, "doc_id").join(items.select("item_id", "grams"), "item_id")
         found = full.select("doc_id", "item_id", "text", "grams").mapInArrow(_verify(n), schema)

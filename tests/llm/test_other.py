@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
 from collections import Counter
 
+import duckdb
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 import ugly
 from pyspark.sql import functions as F
@@ -66,6 +69,26 @@ def test_items_in_long_documents(spark, item_bytes):
     assert kept.columns == df.columns and kept.count() == df.count() - 2
 
 
+@pytest.mark.parametrize("item_bytes", [decontaminate.ITEM_BYTES, 0])
+def test_small_items_agree_with_sql(spark, item_bytes):
+    rng = random.Random(3)
+    docs = [(k, " ".join(ugly.words(rng, 640))) for k in range(40)] + [(100, "only four words here"), (101, "only four words here too"), (102, ""), (103, None)]
+    items = [(0, "only four words here"), (1, "four words"), (2, ""), (3, None)]
+    for k, t in docs[:40]:
+        w = t.split()
+        for n in range(5, 12):
+            for s in (0, rng.randrange(20, 600), 640 - n):
+                got = w[s : s + n]
+                items.append((len(items), " ".join(got)))
+                items.append((len(items), " ".join([*got[:-1], "changed"])))  # of 5 shingles on, 4/5 or more are left
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [k for k, _ in docs], "text": [t for _, t in docs]}))
+    for few in (items, items[:4]):
+        con.register("benchmark", pa.table({"item_id": [k for k, _ in few], "text": [t for _, t in few]}))
+        got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark(spark, few), item_bytes=item_bytes)
+        assert oracle.compare(got, con, decontaminate.SQL) is None
+
+
 # mixing
 
 
