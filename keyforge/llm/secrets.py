@@ -1,8 +1,10 @@
 """Secret scan: character Markov models of random strings and ordinary identifiers.
 
 A candidate is a run of 16 or more characters of [A-Za-z0-9_+/-]. Two order-2
-models give its log-likelihood ratio; a candidate whose ratio per character
-passes a threshold chosen on held-out labelled strings is a secret.
+models give its log-likelihood ratio. A candidate whose ratio per character
+passes a threshold chosen on held-out labelled strings is a secret; so is the
+longest such stretch of 16 or more characters between separators ('_', '+', '/'
+and '-') of another one: a secret behind a long path or name.
 
 Any other character ends a run, beyond ASCII too: quotes, spaces, dashes and
 letters of other scripts. Latin letters beyond ASCII (and accents that combine) make
@@ -109,11 +111,55 @@ class Detector:
     def __init__(self, ratio: np.ndarray, threshold: float):
         self.ratio, self.threshold = ratio, threshold
 
+    def sums(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihood ratio of all characters before each, offsets by string)."""
+        at, offs = _contexts(strings)
+        return np.concatenate([[0.0], np.cumsum(self.ratio[at], dtype=np.float64)]), offs
+
     def score(self, strings: list[bytes]) -> np.ndarray:
+        """The best mean of a string and of the shortest stretches, LEAST at least, from each of its parts on."""
         if not strings:
             return np.zeros(0)
-        at, offs = _contexts(strings)
-        return np.add.reduceat(self.ratio[at], offs[:-1]) / np.diff(offs)
+        total, offs = self.sums(strings)
+        return self._best(strings, total, offs)
+
+    def _best(self, strings: list[bytes], total: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(_SEPARATOR[np.frombuffer(b"".join(strings), np.uint8)])
+        start, end = np.union1d(offs[:-1], at + 1), np.union1d(offs[1:], at)
+        start = start[start < offs[-1]]
+        of = np.searchsorted(offs, start, "right") - 1
+        e = end[np.minimum(np.searchsorted(end, start + LEAST), len(end) - 1)]
+        short = (e - start >= LEAST) & (e <= offs[of + 1])
+        mean = np.where(short, (total[e] - total[start]) / np.maximum(e - start, 1), -np.inf)
+        return np.maximum(np.diff(total[offs]) / np.diff(offs), np.maximum.reduceat(mean, np.searchsorted(of, np.arange(len(strings)))))
+
+    def find(self, strings: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(string, start, end, mean) of the secrets, in order."""
+        if not strings:
+            return []
+        total, offs = self.sums(strings)
+        out = []
+        for i in np.flatnonzero(self._best(strings, total, offs) > self.threshold):
+            text = np.frombuffer(strings[i], np.uint8)
+            over = total[offs[i] : offs[i + 1] + 1] - self.threshold * np.arange(len(text) + 1)
+            at, todo = np.flatnonzero(_SEPARATOR[text]), [(0, len(text))]
+            while todo:
+                lo, hi = todo.pop()
+                got = self._longest(over, at[np.searchsorted(at, lo) : np.searchsorted(at, hi)], lo, hi) if hi - lo >= LEAST else None
+                if got:
+                    s, e = got
+                    out.append((int(i), s, e, (total[offs[i] + e] - total[offs[i] + s]) / (e - s)))
+                    todo += [(lo, s - 1), (e + 1, hi)]
+        return sorted(out)
+
+    @staticmethod
+    def _longest(over: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[int, int] | None:
+        """The longest stretch between separators `at`, of LEAST at least, over which `over` rises."""
+        start, end = np.append(lo, at + 1), np.append(at, hi)
+        first = start[np.minimum(np.searchsorted(-np.minimum.accumulate(over[start]), -over[end], "right"), len(start) - 1)]
+        size = np.where(over[first] < over[end], end - first, 0)
+        k = int(np.argmax(size))
+        return (int(first[k]), int(end[k])) if size[k] >= LEAST else None
 
 
 def _log_model(strings: list[str]) -> np.ndarray:
@@ -198,9 +244,9 @@ def _runs(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _found(found: Detector, column: pa.Array):
     raw, offs = T.buffers(column)
     row, s, e = _runs(raw, offs)
-    score = found.score([raw[a:b].tobytes() for a, b in zip(s, e)])
-    hit = score > found.threshold
-    return raw, offs, row[hit], s[hit], e[hit], score[hit]
+    got = found.find([raw[a:b].tobytes() for a, b in zip(s, e)])
+    k, a, b = (np.array([x[c] for x in got], np.int64) for c in range(3))
+    return raw, offs, row[k], s[k] + a, s[k] + b, np.array([x[3] for x in got])
 
 
 def _scan(found: Detector):

@@ -154,6 +154,32 @@ def test_words_with_letters_beyond_ascii_are_no_candidates():
     assert not secrets._latin(np.frombuffer("aZ09_×÷“«–—•：\u00a0\u200b\ufe0fΩж中あｋ🔑".encode(), np.uint8)).any()
 
 
+def test_secrets_behind_long_names():
+    rng = np.random.default_rng(5)
+    found = secrets.train([], strings=6000, seed=1)
+    pos = secrets.random_strings(rng, 1000)
+    heads = ["/".join(w) + "/" if k % 2 else "_".join(w) + "_" for k, w in enumerate(rng.choice(secrets._WORDS, (1000, 8)))]
+    got = found.find([(h + p).encode() for h, p in zip(heads, pos)])
+    masked = np.zeros(1000)  # share of each secret that is within what is found
+    for i, s, e, score in got:
+        masked[i] += max(0, e - max(s, len(heads[i]))) / len(pos[i])
+        assert e - s >= secrets.LEAST and score > found.threshold
+    assert (masked > 0.8).mean() >= 0.95
+    assert (found.score([(h + "end").encode() for h in heads]) > found.threshold).mean() <= 0.01
+
+
+def test_stretches_are_what_brute_force_gives():
+    rng = np.random.default_rng(6)
+    found = secrets.Detector(rng.normal(0, 1, secrets._N**3), 0.15)
+    for _ in range(200):
+        text = "".join(rng.choice(list("abc_/"), rng.integers(16, 90))).encode()
+        total = found.sums([text])[0]
+        cuts = [k for k, c in enumerate(text) if c in b"_/"]
+        best = max([e - s for s in [0, *(k + 1 for k in cuts)] for e in [*cuts, len(text)] if e - s >= secrets.LEAST and (total[e] - total[s]) / (e - s) > 0.15], default=0)
+        got = [e - s for _, s, e, _ in found.find([text])]
+        assert max(got, default=0) == (best if found.score([text])[0] > 0.15 else 0)
+
+
 def test_secrets_on_ugly_tables(spark):
     df = ugly.documents(spark)
     assert secrets.redact(df).columns == df.columns and secrets.redact(df).count() == df.count()
