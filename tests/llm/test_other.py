@@ -176,6 +176,17 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicate_vectors(df.filter("vec_id = 3")).count() == 1
 
 
+def test_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8 if k < 60 else 5).tolist()) for k in range(100)]
+    rows += [(200 + k, (np.array(rows[k][1]) * 3 + 0.01 * (k % 2)).tolist()) for k in range(50, 70)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rep = {r.vec_id: r.representative for r in embedding_dedup.near_duplicate_vectors(df, threshold=0.99).collect()}
+    want = {k: k for k in range(100)} | {200 + k: k for k in range(50, 70)}
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    assert all(unit[a] @ unit[b] < 0.99 for n in (range(60), range(60, 100)) for a in n for b in n if a < b) and rep == want
+
+
 # packages
 
 
