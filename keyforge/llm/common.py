@@ -88,15 +88,19 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, with one row of those that share an id (the least text); null ids all stay.
 
-    Only repeated ids are shuffled with their rows, and only where there are any.
+    Only repeated ids are shuffled with their rows, and only where there are any. Of rows
+    with one id and text, the one whose other columns hash least is taken.
     """
     many = cut(docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(id_col))
     if many.isEmpty():
         return docs
     many = small(many, 16)
-    rank = Window.partitionBy(id_col).orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
-    first = docs.join(many, id_col, "left_semi").withColumn("__rank", F.row_number().over(rank)).filter("__rank = 1").drop("__rank")
-    return docs.join(many, id_col, "left_anti").unionByName(first.select(docs.columns))
+    # maps have no hash, and any name may be taken by a column
+    hashed = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, kind in docs.dtypes]
+    rows = docs.join(many, id_col, "left_semi").select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col("text").alias("text"), F.xxhash64(*hashed).alias("tie"))
+    rank = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_last(), "tie")
+    first = rows.withColumn("place", F.row_number().over(rank)).filter("place = 1").select("row.*")
+    return docs.join(many, id_col, "left_anti").select(docs.columns).unionByName(first)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
