@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import cut, small
 
+#: Occurrences of an anchor that are worked on together.
+HOT = 1 << 17
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -62,11 +64,15 @@ def _anchors(length: int, k: int):
 
 
 def with_repeats(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc_id, text, words) of documents (texts()) with anchors that occur more than once: their places."""
+    """(doc_id, text, words, hot) of documents (texts()) with anchors that occur more than once: their places.
+
+    hot has, for anchors with more than HOT occurrences, their place and into how many parts the occurrences are split.
+    """
     anchors = docs.mapInArrow(_anchors(length, k), "hash long, doc_id long, word int")
     again = anchors.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).filter("n > 1")
-    places = cut(again.groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words")))
-    return docs.join(small(places, 32 + 4 * F.size("words")), "doc_id")
+    hot = F.when(F.col("n") > HOT, F.struct("word", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    places = cut(again.groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words"), F.collect_list(hot).alias("hot")))
+    return docs.join(small(places, 32 + 4 * F.size("words") + 8 * F.size("hot")), "doc_id")
 
 
 def chosen(part: pa.RecordBatch, length: int, k: int):
