@@ -6,13 +6,15 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import ugly
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from test_text import split
 
-from keyforge.llm import components, jaccard_join, substring_dedup, suffix_dedup
+from keyforge.llm import anchors, components, jaccard_join, substring_dedup, suffix_dedup
 from keyforge.llm.common import table
 
 
@@ -59,12 +61,27 @@ def similar(docs, n, t):
 
 
 def expand(df):
+    """All pairs that the rows stand for, of copies too; each row once, n - 1 for n copies."""
+    rows, copy_of = df.collect(), {}
+    for r in rows:
+        assert r.doc_a < r.doc_b
+        if r.jaccard == 1:
+            assert copy_of.setdefault(r.doc_b, r.doc_a) == r.doc_a
+    members = defaultdict(list)
+    for b, a in copy_of.items():
+        assert a not in copy_of
+        members[a].append(b)
     out = {}
-    for r in df.collect():
-        for a in r.ids_a:
-            for b in r.ids_b:
-                if a != b:
-                    assert out.setdefault((min(a, b), max(a, b)), r.jaccard) == r.jaccard
+    for a, copies in members.items():
+        every = [a, *copies]
+        out |= {(min(x, y), max(x, y)): 1.0 for x in every for y in every if x != y}
+    for r in rows:
+        if r.jaccard < 1:
+            assert not {r.doc_a, r.doc_b} & set(copy_of)
+            for x in (r.doc_a, *members.get(r.doc_a, ())):
+                for y in (r.doc_b, *members.get(r.doc_b, ())):
+                    assert out.setdefault((min(x, y), max(x, y)), r.jaccard) == r.jaccard
+    assert len({(r.doc_a, r.doc_b) for r in rows}) == len(rows)
     return out
 
 
@@ -97,6 +114,23 @@ def test_jaccard_tiles(spark, monkeypatch):
         assert got.tolist() == [[not any(k < at for k in set(keys[r]) & set(keys[c])) for c in cols] for r in rows]
 
 
+@pytest.mark.parametrize("block", [("BLOCK_DOCS", 7), ("BLOCK_GRAMS", 300)])
+def test_split_buckets_give_the_same_pairs(spark, monkeypatch, block):
+    rng = random.Random(3)
+    base = ugly.words(rng, 60)
+    docs = corpus(6, 30) | {k: " ".join("edit" if i == k - 100 else w for i, w in enumerate(base)) for k in range(100, 140)} | {k: " ".join(base) for k in range(200, 210)}
+    df = frame(spark, docs)
+    want, kept = ugly.rows(jaccard_join.jaccard_join(df)), ugly.rows(jaccard_join.drop_near_duplicates(df))
+    monkeypatch.setattr(jaccard_join, *block)
+    assert ugly.rows(jaccard_join.jaccard_join(df)) == want and ugly.rows(jaccard_join.drop_near_duplicates(df)) == kept
+
+
+def test_copies_cost_a_row_each(spark):
+    docs = {k: f"the same words for {k % 3} documents of a crowd" for k in range(300)}
+    got = jaccard_join.jaccard_join(frame(spark, docs)).filter("jaccard = 1").collect()
+    assert {(r.doc_a, r.doc_b) for r in got} == {(k % 3, k) for k in range(3, 300)}
+
+
 def test_join_on_ugly_tables(spark):
     got = expand(jaccard_join.jaccard_join(ugly.documents(spark)))
     assert got[1, 2] == 1 and (1, 3) in got and (2, 3) in got and got[7, 8] == 1
@@ -123,6 +157,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [k for k in docs if find(k) == k]
 
 
+def test_dropping_with_maps_and_clashing_names(spark):
+    df = ugly.documents(spark).withColumns({c: F.lit(f"extra {c}") for c in ("row", "tie", "place", "__rank", "set_a", "kept", "members", "size")}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = jaccard_join.drop_near_duplicates(df)
+    assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {None, 1, 4, 5, 6, 7, 9, 11, 12, 13, 14, 15}
+    assert {(r.row, r.m["a"]) for r in got.collect()} == {("extra row", 1)}
+
+
 def test_dropping_on_ugly_tables(spark):
     df = ugly.documents(spark)
     got = jaccard_join.drop_near_duplicates(df)
@@ -159,19 +200,17 @@ def test_components(spark, shape):
 
 
 def brute_repeats(docs, length):
-    """(own windows by (doc, first doc), windows of doc by first other doc)."""
+    """Repeated words by (doc, first doc)."""
     places = defaultdict(list)
     for k in sorted(docs):
         w = split(docs[k])
         for i in range(len(w) - length + 1):
             places[tuple(w[i : i + length])].append((k, i))
-    own, across = defaultdict(set), defaultdict(set)
+    own = defaultdict(set)
     for at in places.values():
         for k, i in at[1:]:
             own[k, at[0][0]].update(range(i, i + length))
-            if k != at[0][0]:
-                across[k].update(range(i, i + length))
-    return own, across
+    return own
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -183,45 +222,70 @@ def test_suffix_repeats(spark, seed, length, anchor):
         span = set(range(r.start, r.start + r.words))
         assert not span & got[r.doc_id, r.first_doc_id]
         got[r.doc_id, r.first_doc_id] |= span
-    assert got == brute_repeats(docs, length)[0]
+    assert got == brute_repeats(docs, length)
+
+
+def brute_maximal(docs, length):
+    """Rows of maximal_repeats(): each window with the occurrence before it, extended both ways."""
+    places = defaultdict(list)
+    words = {k: split(docs[k]) for k in docs}
+    for k in sorted(docs):
+        for i in range(len(words[k]) - length + 1):
+            places[tuple(words[k][i : i + length])].append((k, i))
+    out = set()
+    for at in places.values():
+        for (a, x), (b, y) in zip(at, at[1:]):
+            p, q, n = words[a], words[b], length
+            while x and y and p[x - 1] == q[y - 1]:
+                x, y, n = x - 1, y - 1, n + 1
+            while x + n < len(p) and y + n < len(q) and p[x + n] == q[y + n]:
+                n += 1
+            out.add((b, y, n, a, x))
+    return out
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize(("length", "anchor"), [(8, 4), (12, 3)])
-def test_substring_repeats(spark, seed, length, anchor):
-    docs = corpus(seed)
-    got, seen = defaultdict(set), set()
-    for r in substring_dedup.maximal_repeats(frame(spark, docs), length, anchor).collect():
-        a, b, n = split(docs[r.doc_a]), split(docs[r.doc_b]), r.words
-        x, y = r.start_a, r.start_b
-        assert r.doc_a < r.doc_b and n >= length and a[x : x + n] == b[y : y + n]
-        assert not (x and y and a[x - 1] == b[y - 1]) and not (x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n])
-        assert tuple(r) not in seen
-        seen.add(tuple(r))
-        got[r.doc_b].update(range(y, y + n))
-    for k, span in brute_repeats(docs, length)[1].items():
-        assert span <= got[k]
+@pytest.mark.parametrize(("length", "anchor", "hot"), [(8, 4, 1 << 17), (12, 3, 1 << 17), (8, 4, 2)])
+def test_substring_repeats(spark, monkeypatch, seed, length, anchor, hot):
+    monkeypatch.setattr(anchors, "HOT", hot)
+    docs = corpus(seed) | {500: " ".join(["la"] * 50), 501: " ".join(["x", *["la"] * 30, "y"] * 2)}
+    rows = [tuple(r) for r in substring_dedup.maximal_repeats(frame(spark, docs), length, anchor).collect()]
+    assert len(set(rows)) == len(rows) and set(rows) == brute_maximal(docs, length)
+
+
+def test_a_passage_in_many_batches(spark):
+    """A cell's rows come in several Arrow batches: the last place of each window is carried over."""
+    rng = np.random.default_rng(1)
+    windows = [rng.integers(0, 5, 6) for _ in range(40)]
+    rows = [(7, d, 0, w) for d, w in enumerate(windows)] + [(8, d, 3, w) for d, w in enumerate(windows[:10])]
+    make = lambda part: pa.RecordBatch.from_pydict({"cell": [r[0] for r in part], "doc_id": [r[1] for r in part], "word": [r[2] for r in part], "windows": [r[3].tolist() for r in part]}, schema=pa.schema([("cell", pa.int64()), ("doc_id", pa.int64()), ("word", pa.int64()), ("windows", pa.list_(pa.int64()))]))
+    got = []
+    for size in (1, 7, 100):
+        found = set()
+        for b in substring_dedup._matches(1)(iter([make(rows[i : i + size]) for i in range(0, len(rows), size)])):
+            for r in b.to_pylist():
+                found |= {(r["doc_a"], r["doc_b"], r["diagonal"], s) for s in range(r["start"], r["end"])}
+        got.append(found)
+    assert got[0] == got[1] == got[2] and got[0]
 
 
 def test_repeats_on_ugly_tables(spark):
     df = ugly.documents(spark)
     got = {(r.doc_id, r.first_doc_id) for r in suffix_dedup.repeats(df).collect()}
     assert got == {(2, 1), (10, 9)}
-    pairs = {(r.doc_a, r.doc_b): r.words for r in substring_dedup.maximal_repeats(df).collect()}
-    assert pairs == {(1, 2): 80, (9, 10): 15_000}
+    pairs = {(r.other_doc_id, r.doc_id): (r.words, r.start, r.other_start) for r in substring_dedup.maximal_repeats(df).collect()}
+    assert pairs == {(1, 2): (80, 0, 0), (9, 10): (15_000, 0, 0)}
     assert suffix_dedup.repeats(ugly.empty(spark)).count() == 0 == substring_dedup.maximal_repeats(ugly.empty(spark)).count()
 
 
 def test_queries_find_what_brute_force_finds(spark):
     docs = {r.doc_id: r.text for r in table(spark, ugly.SF, "documents").collect()}
-    own, across = brute_repeats(docs, 50)
+    own = brute_repeats(docs, 50)
     got = defaultdict(set)
     for r in suffix_dedup.op3_suffix_dedup(spark, ugly.SF).collect():
         got[r.doc_id, r.first_doc_id].update(range(r.start, r.start + r.words))
     assert got == own
-    got = defaultdict(set)
-    for r in substring_dedup.op9_substring_dedup(spark, ugly.SF).collect():
-        got[r.doc_b].update(range(r.start_b, r.start_b + r.words))
-    assert all(v <= got[k] for k, v in across.items())
+    got = [tuple(r) for r in substring_dedup.op9_substring_dedup(spark, ugly.SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_maximal(docs, 50)
     want, found = similar(docs, 3, 0.5), expand(jaccard_join.op2_jaccard_join(spark, ugly.SF))
     assert set(found) <= set(want) and len(found) >= 0.9 * len(want)
