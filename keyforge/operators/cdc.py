@@ -40,13 +40,13 @@ def key_changes(changes: DataFrame) -> DataFrame:
     return key_of(changes).filter("op = 'U' AND old_key <> key").select("table_name", "lsn", F.col("old_key").alias("old_uuid"), F.col("key").alias("new_uuid"))
 
 
-def net(changes: DataFrame) -> DataFrame:
+def net(changes: DataFrame, column: str = "id") -> DataFrame:
     """The last record of each (table_name, key): op 'U' (upsert) or 'D', its lsn, and the columns it leaves (new).
 
     A column that the record doesn't hold, as an unchanged large value, comes from the
     latest record before it that does, back to the last delete.
     """
-    rows = key_of(changes)
+    rows = key_of(changes, column)
     by = Window.partitionBy("table_name", "key").orderBy("lsn")
     died = F.sum(F.when(F.col("op") == "D", 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("life", F.coalesce(died, F.lit(0)))
@@ -59,14 +59,22 @@ def net(changes: DataFrame) -> DataFrame:
     return got.select("table_name", "key", F.when(F.col("op") == "D", "D").otherwise("U").alias("op"), "lsn", F.when(F.col("op") != "D", F.col("new")).alias("new"))
 
 
-def apply_net(target: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """target (columns as text or castable from it) after net changes of its table: an overlay by one full join.
+def apply_net(target: DataFrame, changes: DataFrame, key: str = "id", few: bool = False) -> DataFrame:
+    """target (columns as text or castable from it) after net changes of its table: an overlay by key.
 
-    Columns that a change leaves out keep their value. Keys stay legacy ones here.
+    Columns that a change leaves out keep their value. few: the changes were checked
+    to be small, and are broadcast, so that the target isn't shuffled; otherwise one full join does it.
     """
-    names = target.columns
-    side = changes.select(F.col("key").alias("__key"), F.col("op").alias("__op"), F.col("new").alias("__new"))
-    got = target.join(side, F.col(key) == F.col("__key"), "full").filter("__op IS NULL OR __op <> 'D'")
+    names, kind = target.columns, target.schema[key].dataType
+    side = changes.select(F.col("key").cast(kind).alias("__key"), F.col("op").alias("__op"), F.col("new").alias("__new"))
+    if few:
+        got = target.join(F.broadcast(side), F.col(key) == F.col("__key"), "left")
+        there = target.select(F.col(key).alias("__key")).join(F.broadcast(side.select("__key")), "__key", "left_semi")
+        fresh = side.join(there, "__key", "left_anti")
+        got = got.unionByName(fresh.select(*(F.lit(None).cast(target.schema[c].dataType).alias(c) for c in names), "__key", "__op", "__new"))
+    else:
+        got = target.join(side, F.col(key) == F.col("__key"), "full")
+    got = got.filter("__op IS NULL OR __op <> 'D'")
     out = [F.coalesce(F.col(key), F.col("__key")).alias(key)]
     for c in names:
         if c != key:
