@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Relations = dict[int, tuple[str, list[str]]]
+#: Of raw messages.
+SCHEMA = "lsn long, ts timestamp_ntz, data binary"
 
 
 class _Reader:
@@ -79,28 +82,77 @@ def decode(data: bytes, relations: Relations) -> tuple[str, str, dict | None, di
     return table, op, old, new
 
 
-def decode_messages(messages: DataFrame) -> DataFrame:
+def encode_relation(rid: int, table: str, columns: list[str]) -> bytes:
+    """A relation message; columns are text."""
+    out = b"R" + struct.pack(">I", rid) + b"public\0" + table.encode() + b"\0f" + struct.pack(">h", len(columns))
+    return out + b"".join(b"\0" + c.encode() + b"\0" + struct.pack(">ii", 25, -1) for c in columns)
+
+
+def _number(n: Column, size: int) -> Column:
+    return F.unhex(F.lpad(F.hex(n), 2 * size, "0"))
+
+
+def _row(values: Column, columns: list[str]) -> Column:
+    parts = [_number(F.lit(len(columns)), 2)]
+    for c in columns:
+        v = F.element_at(values, F.lit(c))
+        parts.append(F.when(v.isNull(), F.lit(b"n")).otherwise(F.concat(F.lit(b"t"), _number(F.octet_length(v), 4), v.cast("binary"))))
+    return F.concat(*parts)
+
+
+def encode_rows(changes: DataFrame, rid: int, columns: list[str]) -> DataFrame:
+    """Messages (SCHEMA) of one table's change records: what decode_messages() reads."""
+    head, new, old = _number(F.lit(rid), 4), F.concat(F.lit(b"N"), _row(F.col("new"), columns)), F.concat(F.lit(b"O"), _row(F.col("old"), columns))
+    data = F.when(F.col("op") == "I", F.concat(F.lit(b"I"), head, new)).when(F.col("op") == "D", F.concat(F.lit(b"D"), head, old))
+    return changes.select("lsn", F.col("ts").cast("timestamp_ntz").alias("ts"), data.otherwise(F.concat(F.lit(b"U"), head, F.when(F.col("old").isNotNull(), old).otherwise(F.lit(b"")), new)).alias("data"))
+
+
+def relations(messages: DataFrame) -> DataFrame:
+    """(lsn, relation_id, table_name, columns) of the relation messages that change what was known of their relation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(lsn, *relation(data)) for lsn, data in zip(*(batch.column(c).to_pylist() for c in ("lsn", "data")))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _RELATION)], schema=_RELATION)
+
+    got = messages.filter(F.substring("data", 1, 1) == F.lit(b"R")).select("lsn", "data").mapInArrow(run, "lsn long, relation_id long, table_name string, columns array<string>")
+    now = F.struct("table_name", "columns")
+    before = F.lag(now).over(Window.partitionBy("relation_id").orderBy("lsn"))
+    return got.withColumn("same", F.coalesce(before == now, F.lit(False))).filter("NOT same").drop("same")
+
+
+_RELATION = pa.schema([("lsn", pa.int64()), ("relation_id", pa.int64()), ("table_name", pa.string()), ("columns", pa.list_(pa.string()))])
+_CHANGE = pa.schema([("lsn", pa.int64()), ("table_name", pa.string()), ("op", pa.string()), ("ts", pa.timestamp("us")), ("old", pa.map_(pa.string(), pa.string())), ("new", pa.map_(pa.string(), pa.string()))])
+
+
+def decode_messages(messages: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Change records of messages (lsn long, ts, data binary), by Arrow batches.
 
-    Relations come first, as a table of a few rows for each schema version, and are joined by
-    the driver: the row messages are then decoded in parallel. A relation holds for all positions;
-    the last version counts.
+    known: relations(), of these messages unless given, which come to the driver: a row for each
+    version of a table's columns. A row message is decoded by the last version at or
+    before its position; one before its relation's first version by that.
     """
-    first = messages.filter(F.substring("data", 1, 1) == F.lit(b"R")).orderBy("lsn").select("data").collect()
-    relations: Relations = {}
-    for row in first:
-        rid, name, columns = relation(bytes(row.data))
-        relations[rid] = (name, columns)
+    history: dict[int, tuple[list[int], list[tuple[str, list[str]]]]] = {}
+    for r in sorted((known if known is not None else relations(messages)).collect(), key=lambda r: r.lsn):
+        at, versions = history.setdefault(r.relation_id, ([], []))
+        at.append(r.lsn)
+        versions.append((r.table_name, list(r.columns)))
+
+    def as_of(data: bytes, lsn: int) -> Relations:
+        rid = struct.unpack_from(">I", data, 1)[0] if len(data) >= 5 else -1
+        if rid not in history:
+            return {}
+        at, versions = history[rid]
+        return {rid: versions[max(0, bisect.bisect_right(at, lsn) - 1)]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lsn", pa.int64()), ("table_name", pa.string()), ("op", pa.string()), ("ts", pa.timestamp("us")), ("old", pa.map_(pa.string(), pa.string())), ("new", pa.map_(pa.string(), pa.string()))])
         for batch in batches:
             rows = []
             for lsn, ts, data in zip(*(batch.column(c).to_pylist() for c in ("lsn", "ts", "data"))):
-                got = decode(data, relations) if data else None
+                got = decode(data, as_of(data, lsn)) if data and lsn is not None else None
                 if got:
                     table, op, old, new = got
                     rows.append((lsn, table, op, ts, old and list(old.items()), new and list(new.items())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _CHANGE)], schema=_CHANGE)
 
     return messages.select("lsn", F.col("ts").cast("timestamp_ntz").alias("ts"), "data").mapInArrow(run, "lsn long, table_name string, op string, ts timestamp_ntz, old map<string,string>, new map<string,string>")
