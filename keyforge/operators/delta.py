@@ -35,3 +35,8 @@ def batch_plan(keys: DataFrame, size: int, key: str = "old_uuid") -> DataFrame:
 def already_copied(counts: DataFrame) -> DataFrame:
     """counts (table_name, source, target, mapped) with `done`: nothing is left to copy."""
     return counts.withColumn("done", (F.col("source") == F.col("target")) & (F.col("source") == F.col("mapped")))
+
+
+def split_half(order: DataFrame) -> DataFrame:
+    """order (table_name, place from 1) with `half`: first for the leading half of the tables, rounded down, second for the others."""
+    return order.crossJoin(F.broadcast(order.agg(F.floor(F.count("*") / 2).alias("__n")))).withColumn("half", F.when(F.col("place") <= F.col("__n"), "first").otherwise("second")).drop("__n")

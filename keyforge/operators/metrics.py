@@ -51,6 +51,54 @@ def counter_rate(samples: DataFrame, by: str = "table_name") -> DataFrame:
     return got.filter("increase IS NOT NULL").select(by, "at", "increase", F.when(F.col("seconds") > 0, F.col("increase") / F.col("seconds")).otherwise(0.0).alias("per_sec"))
 
 
+def counter_increase(samples: DataFrame, by: str = "table_name", window: int = 300) -> DataFrame:
+    """(by, window_start, increase, per_sec): a counter's growth in each `window` seconds, as sum by, increase and rate give it.
+
+    A sample's growth since the one before it counts in its own window; per_sec is the increase over the window's length.
+    """
+    start = (F.floor(F.col("at") / window) * window).cast("long")
+    got = counter_rate(samples, by).groupBy(by, start.alias("window_start")).agg(F.sum("increase").alias("increase"))
+    return got.withColumn("per_sec", F.col("increase") / F.lit(window))
+
+
+def sum_by(rows: DataFrame, by: str, column: str, top: int | None = None) -> DataFrame:
+    """(by, place, total) of the `top` largest sums; place counts from 1, largest first, ties by name."""
+    got = rows.groupBy(by).agg(F.sum(column).alias("total"))
+    got = got.orderBy(F.desc("total"), by).limit(top) if top else got
+    return got.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), by)).cast("long"))  # a row a group
+
+
+def sync_totals(batches: DataFrame) -> DataFrame:
+    """(table_name, records, duration_ms, records_per_sec) by table, and of all as table_name null; the last a whole number."""
+    got = batches.rollup("table_name").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"))
+    return got.withColumn("records_per_sec", per_second(F.col("records"), F.col("duration_ms")))
+
+
+def rollback_totals(rollbacks: DataFrame) -> DataFrame:
+    """(n_tables, records, duration_ms) of (table_name, records, duration_ms)."""
+    return rollbacks.agg(F.count_distinct("table_name").alias("n_tables"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"))
+
+
+def offline_means(batches: DataFrame, pool: DataFrame) -> DataFrame:
+    """(mean_records_per_sec, max_active) of run logs: batches with records_per_sec, and pool samples with active_connections."""
+    return batches.agg(F.avg("records_per_sec").alias("mean_records_per_sec")).crossJoin(pool.agg(F.max("active_connections").alias("max_active")))
+
+
+#: What a run must reach: measure -> (least value of each grade, from the best one down).
+GRADES = {"rows_per_sec": (20_000, 10_000, 5_000), "sync_percent": (99, 95, 90), "rollback_tables_per_min": (12, 6, 2)}
+
+
+def graded(measured: DataFrame) -> DataFrame:
+    """(measure, value, grade, passed) of (measure, value): EXCELLENT, TARGET, MINIMUM or FAILED by GRADES."""
+    grade = F.lit(None).cast("string")
+    for name, least in GRADES.items():
+        kind = F.lit("FAILED")
+        for k, word in reversed(list(zip(least, ("EXCELLENT", "TARGET", "MINIMUM")))):
+            kind = F.when(F.col("value") >= k, word).otherwise(kind)
+        grade = F.when(F.col("measure") == name, kind).otherwise(grade)
+    return measured.withColumn("grade", grade).withColumn("passed", F.coalesce(F.col("grade") != "FAILED", F.lit(False)))
+
+
 def adaptive_batches(batches: DataFrame, by: str, start: int = 1000, target_ms: int = 150, least: int = 100, most: int = 4000, warm_up: int = 2, least_rows: int = 5000) -> DataFrame:
     """(by, final_size, n_changes): the batch size that a controller would end with, over (by, seq, rows, duration_ms).
 

@@ -14,21 +14,31 @@ class Strategy(Enum):
     EAGER = "broadcast"  #: of a mapping whose size was checked
     LAZY = "shuffle_hash"
     SORTED = "merge"
-    HYBRID = None  #: left to the optimizer and its statistics
+    HYBRID = None  #: broadcast for pinned tables, else left to the optimizer and its statistics
 
 
-#: EAGER broadcasts a mapping of at most so many rows; a larger one is shuffled.
-EAGER_ROWS = 2_000_000
+#: EAGER broadcasts a mapping whose keys and ids have at most so many bytes; a larger one is shuffled.
+EAGER_BYTES = 64 << 20
+#: One strategy for all parents, or one for each parent table (HYBRID where it has none).
+Strategies = Strategy | dict[str, Strategy]
 
 
-def _side(mapping: DataFrame, table: str, strategy: Strategy) -> DataFrame:
+def hybrid(pinned: list[str]) -> dict[str, Strategy]:
+    """HYBRID by table: the mappings of pinned tables (metrics.pinned_tables) are broadcast."""
+    return dict.fromkeys(pinned, Strategy.EAGER)
+
+
+def _side(mapping: DataFrame, table: str, strategy: Strategies) -> DataFrame:
     side = mapping.filter(F.col("table_name") == table).select(F.col("old_uuid").alias("__old"), F.col("new_id").alias("__new"))
+    if isinstance(strategy, dict):
+        strategy = strategy.get(table, Strategy.HYBRID)
     if strategy is Strategy.EAGER:
-        return F.broadcast(side) if side.limit(EAGER_ROWS + 1).count() <= EAGER_ROWS else side
+        size = side.agg(F.coalesce(F.sum(F.octet_length("__old") + 24), F.lit(0))).first()[0]
+        return F.broadcast(side) if size <= EAGER_BYTES else side
     return side.hint(strategy.value) if strategy.value else side
 
 
-def remap(rows: DataFrame, mapping: DataFrame, parents: dict[str, str], strategy: Strategy = Strategy.HYBRID) -> DataFrame:
+def remap(rows: DataFrame, mapping: DataFrame, parents: dict[str, str], strategy: Strategies = Strategy.HYBRID) -> DataFrame:
     """rows with each column of `parents` (column -> table) replaced by the id of its key.
 
     A key without an id becomes null, as does null.
@@ -40,7 +50,7 @@ def remap(rows: DataFrame, mapping: DataFrame, parents: dict[str, str], strategy
     return rows.select(names)
 
 
-def split_missing(rows: DataFrame, mapping: DataFrame, parents: dict[str, str], strategy: Strategy = Strategy.HYBRID) -> tuple[DataFrame, DataFrame]:
+def split_missing(rows: DataFrame, mapping: DataFrame, parents: dict[str, str], strategy: Strategies = Strategy.HYBRID) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): re-keyed rows without a missing parent, and the others as they came, with `missing`.
 
     missing is an array of column=key. A null foreign key isn't missing.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import legacy_uuid
+from ..schema import TableSpec
 
 #: table -> (numerator, denominator of its share of the base count, parents by column, other columns).
 SHAPES: dict[str, tuple[int, int, dict[str, str], tuple[str, ...]]] = {
@@ -30,6 +31,14 @@ SHAPES: dict[str, tuple[int, int, dict[str, str], tuple[str, ...]]] = {
     "marketing_campaigns": (1, 1000, {"region_id": "regions"}, ("name",)),
     "campaign_stats": (1, 1000, {"campaign_id": "marketing_campaigns"}, ("clicks",)),
 }
+#: Tables that can't be re-keyed: a cycle, and keys that aren't one uuid column id.
+ODD = (
+    TableSpec("cycle_a", {"id": "uuid", "b_id": "uuid", "note": "text"}, ("id",), {"b_id": "cycle_b"}),
+    TableSpec("cycle_b", {"id": "uuid", "a_id": "uuid", "note": "text"}, ("id",), {"a_id": "cycle_a"}),
+    TableSpec("legacy_integer_audit", {"id": "bigserial", "message": "text"}, ("id",)),
+    TableSpec("external_reference_codes", {"code": "text", "description": "text"}, ("code",)),
+    TableSpec("staging_events", {"event_id": "text", "payload": "text"}),
+)
 _RANGES = {"quantity": (1, 999), "qty": (1, 9), "rating": (1, 5), "discount_pct": (5, 49), "clicks": (100, 99_999)}
 
 
@@ -64,6 +73,21 @@ def generate(spark: SparkSession, table: str, base: int, seed: int = 42, start:
     return rows.select(*cols)
 
 
+def generate_odd(spark: SparkSession, table: str, base: int, seed: int = 42) -> DataFrame:
+    """Rows of a table of ODD: a hundredth of the base count, or a thousandth, 1 at least. Rows of the cycle refer to each other."""
+    share = 100 if table in ("legacy_integer_audit", "staging_events") else 1000
+    rows = spark.range(max(1, base // share)).withColumnRenamed("id", "n")
+    text = lambda s: F.concat(F.lit(f"{s} "), "n")
+    if table.startswith("cycle_"):
+        other = {"a": "b", "b": "a"}[table[-1]]
+        return rows.select(legacy_uuid(f"{seed}:{table}", F.col("n")).alias("id"), legacy_uuid(f"{seed}:cycle_{other}", F.col("n")).alias(f"{other}_id"), text(table).alias("note"))
+    if table == "legacy_integer_audit":
+        return rows.select((F.col("n") + 1).alias("id"), text("audit").alias("message"))
+    if table == "external_reference_codes":
+        return rows.select(F.concat(F.lit("REF_"), "n", F.lit("_"), _draw(seed, "ref", 0, 2**31 - 1)).alias("code"), text("reference").alias("description"))
+    return rows.select(F.concat(F.lit("evt_"), "n", F.lit("_"), _draw(seed, "evt", 0, 2**31 - 1)).alias("event_id"), F.to_json(F.struct(F.col("n").alias("count"))).alias("payload"))
+
+
 def mixed_load(spark: SparkSession, operations: int, base: int, seed: int = 42) -> DataFrame:
     """Change records in the proportions 70 inserts, 20 updates, 10 deletes, of users."""
     rows = spark.range(operations).withColumnRenamed("id", "n")
