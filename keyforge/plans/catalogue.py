@@ -9,11 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_cdc, queries_keys, queries_meta, queries_metrics
+from . import queries_cdc, queries_keys, queries_meta, queries_metrics, queries_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (queries_meta, queries_keys, queries_cdc, queries_metrics):
+for _module in (queries_meta, queries_keys, queries_cdc, queries_metrics, queries_runs):
     for _name, (_query, _sql) in _module.CATALOGUE.items():
         QUERIES[_name] = _query
         if _sql is not None:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cdc
 from ..operators import mapping as M
+from ..shared import scratch
 from ..sources.legacy import change_feed, legacy, mapping
 from ..sources.store import Store
 from ..streaming.replicate import replicate
@@ -57,8 +55,7 @@ def _chains(spark, d):
 
 def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     """The feed as files, streamed twice over into a store: the same table as applying it once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="keyforge-")
-    root = f"{base.rstrip('/')}/replay-{uuid4().hex}"
+    root = scratch(spark, "replay")
     store = Store(spark, f"{root}/tables")
     store.replace("customer", _target(spark, d))
     change_feed(spark, d).repartitionByRange(4, "lsn").write.mode("overwrite").parquet(f"{root}/feed")

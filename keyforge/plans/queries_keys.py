@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from uuid import UUID
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ..operators import delta, metrics, validate
 from ..operators import mapping as M
 from ..operators.rekey import Strategy, cache_stats, remap, split_missing
 from ..schema import STAR
-from ..sources.legacy import keys, legacy, mapping, read
+from ..sources.legacy import built, keys, legacy, mapping, read
 from .sqltext import KEYS, uuid
 from .sqltext import mapping as map_sql
 
@@ -130,13 +132,18 @@ def _bench_uuid_join(spark, d):
     return o.join(c, o.o_custkey == c.c_id).select("id", "c_name", "o_totalprice").orderBy("id").limit(1000)
 
 
+def _text_uuid(table: str, key: int) -> str:
+    """The legacy key of a row, as a constant."""
+    return str(UUID(hashlib.md5(f"{table}:{key}".encode()).hexdigest()))
+
+
 _DEC = "decimal(18,2)"
 _SOME = [uuid("customer", str(k)) for k in (0, 7, 11, 149, 10**9)]
 
 CATALOGUE = {
     "legacy_customer": (lambda s, d: legacy(s, d, "customer").select("id", "c_nationkey", "c_name"), f"SELECT {uuid('customer', 'c_custkey')} AS id, {uuid('nation', 'c_nationkey')} AS c_nationkey, c_name FROM customer"),
     "legacy_orders": (_orders, f"SELECT * FROM {_ORDER}"),
-    "mapping_build": (lambda s, d: mapping(s, d, *KEYS), " UNION ALL ".join(f"SELECT '{t}' AS table_name, * FROM {map_sql(t)}" for t in KEYS)),
+    "mapping_build": (lambda s, d: built(s, d, *KEYS), " UNION ALL ".join(f"SELECT '{t}' AS table_name, * FROM {map_sql(t)}" for t in KEYS)),
     "mapping_append_ignore": (_append, f"SELECT {uuid('orders', 'o_orderkey')} AS old_uuid, (SELECT max(new_id) FROM {_HALF}) + row_number() OVER (ORDER BY {uuid('orders', 'o_orderkey')}) AS new_id FROM orders QUALIFY old_uuid NOT IN (SELECT old_uuid FROM {_HALF})"),
     "mapping_override": (_override, f"SELECT 'customer' AS table_name, old_uuid, CASE WHEN new_id % 5 = 0 THEN -new_id ELSE new_id END AS new_id FROM {map_sql('customer')}"),
     "mapping_reverse": (lambda s, d: M.reverse(mapping(s, d, "customer"), s.range(5, 40, 5).withColumnRenamed("id", "new_id"), "customer"), f"SELECT new_id, old_uuid FROM {map_sql('customer')} WHERE new_id IN (5, 10, 15, 20, 25, 30, 35)"),
@@ -192,14 +199,8 @@ CATALOGUE = {
     ),
     "bench_point_lookup": (lambda s, d: read(s, d, "customer").filter(F.col("c_custkey") == 77).select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 77"),
     "bench_multi_lookup": (
-        lambda s, d: mapping(s, d, "customer").join(s.createDataFrame([(k,) for k in (0, 7, 11, 149, 10**9)], "k long").select(_uuid_of("customer", "k").alias("old_uuid")), "old_uuid", "left_semi").select("old_uuid", "new_id"),
+        lambda s, d: M.lookup(mapping(s, d, "customer"), "customer", [_text_uuid("customer", k) for k in (0, 7, 11, 149, 10**9)]),
         f"SELECT old_uuid, new_id FROM {map_sql('customer')} WHERE old_uuid IN ({', '.join(_SOME)})",
     ),
     "bench_prefix_filter": (lambda s, d: read(s, d, "customer").filter(F.col("c_name").startswith("Customer#00000001")).agg(F.count("*").alias("n")), "SELECT count(*)::BIGINT AS n FROM customer WHERE c_name LIKE 'Customer#00000001%'"),
 }
-
-
-def _uuid_of(table: str, column: str):
-    from ..functions.scalars import legacy_uuid
-
-    return legacy_uuid(table, F.col(column))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import legacy_uuid
 from ..operators import mapping as M
 from ..schema import STAR
+from ..shared import scratch
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +32,35 @@ def keys(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name).select(legacy_uuid(name, F.col(STAR[name][0])).alias("old_uuid"))
 
 
+def built(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The mapping of these tables, built anew."""
+    return reduce(DataFrame.unionByName, [M.build(n, keys(spark, sf_dir, n)) for n in names])
+
+
+def _stamp(spark: SparkSession, path: str) -> str:
+    """Changes with the file or folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+    return hashlib.md5(repr(files).encode()).hexdigest()
+
+
 def mapping(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """The mapping of these tables."""
-    each = [M.build(n, keys(spark, sf_dir, n)) for n in names]
-    out = each[0]
-    for df in each[1:]:
-        out = out.unionByName(df)
-    return out
+    """The mapping of these tables, as a migration keeps it: built once in an application and written to the shared folder.
+
+    It is in key order, so that a lookup of a few keys reads the row groups that may have
+    them. A table whose files change is built again.
+    """
+    held = spark.sparkContext.__dict__.setdefault("_keyforge_mappings", {})
+    out = []
+    for n in names:
+        stamp = (n, _stamp(spark, f"{sf_dir}/{n}.parquet"))
+        if stamp not in held:
+            path = f"{scratch(spark, 'mapping')}/{n}"
+            built(spark, sf_dir, n).sortWithinPartitions("old_uuid").write.parquet(path)
+            held[stamp] = path
+        out.append(spark.read.schema("table_name string, old_uuid string, new_id long").parquet(held[stamp]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
