@@ -59,6 +59,29 @@ def test_factorization_machine_learns_interactions():
     assert right >= 0.95 and m.v[pair[0]] @ m.v[pair[1]] > 0.3
 
 
+def _many_pairs(n, each, seed, either=False):
+    """Toxic is one of `each` insults together with one of `each` groups; or (either) one of them without the other."""
+    rng = random.Random(seed)
+    docs, y = [], []
+    for _ in range(n):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w = ugly.words(rng, 6) + [f"insult{rng.randrange(each)}"] * insult + [f"group{rng.randrange(each)}"] * group
+        rng.shuffle(w)
+        docs.append(" ".join(w))
+        y.append(int(insult != group if either else insult and group))
+    words = T.Words(pa.array(docs))
+    return *T.unique_by_row(toxicity._terms(words), words.first), np.array(y)
+
+
+@pytest.mark.parametrize(("each", "either", "n"), [(1, False, 1500), (10, False, 1500), (20, False, 1500), (40, False, 4000), (1, True, 1500), (10, True, 3000)])
+def test_many_rare_pairs(each, either, n):
+    m = toxicity.fit(*_many_pairs(n, each, 1, either))
+    terms, offs, y = _many_pairs(1000, each, 2, either)
+    rows, at = toxicity.known(terms, np.repeat(np.arange(len(y)), np.diff(offs)), m.terms, toxicity.hints(m.terms))
+    toxic = learn.sigmoid(m.logits(rows, at, len(y))) > m.threshold
+    assert toxic[y == 1].mean() >= 0.9 and toxic[y == 0].mean() <= 0.1
+
+
 def test_pairwise_part_is_what_brute_force_gives():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(np.arange(6, dtype=np.uint64), 0.3, rng.normal(size=6), rng.normal(size=(6, 3)), 0.5)
