@@ -1,20 +1,26 @@
 """Secret scan: character Markov models of random strings and ordinary identifiers.
 
-A candidate is a run of 16 or more characters of [A-Za-z0-9_+/-]. Two order-2
+A candidate is a run of 16 or more characters of [A-Za-z0-9_+/-], with dots between
+them; or of 8 to 15, if a word such as password or token with '=' or ':' names it. Two order-2
 models give its log-likelihood ratio. A candidate whose ratio per character
-passes a threshold chosen on held-out labelled strings is a secret; so is the
-longest such stretch of 16 or more characters between separators ('_', '+', '/'
+passes a threshold chosen on held-out labelled strings (one for each length class) is a secret; so is the
+longest such stretch of 16 or more characters between separators ('_', '+', '/', '.'
 and '-') of another one: a secret behind a long path or name.
 
+The models are trained from labelled samples: random strings of the kinds that keys are made
+of, and ordinary ones made of words as the whole corpus writes them. A table of labelled samples of
+one's own can be added.
+
 Any other character ends a run, beyond ASCII too: quotes, spaces, dashes and
 letters of other scripts. Latin letters beyond ASCII (and accents that combine) make
-a word of the characters that they touch, up to the next of '_', '+', '/' and '-':
+a word of the characters that they touch, up to the next of '_', '+', '/', '.' and '-':
 that part is no candidate, what lies behind the separator is one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +31,22 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import importable, table, texts
 
-#: Production parameters: shortest candidate; at most this many documents give ordinary words to train on, and so many labelled strings of each class.
-LEAST, TRAIN_DOCS, TRAIN_STRINGS = 16, 400, 20_000
+#: Production parameters: shortest candidate, and shortest that is named as a secret; labelled strings of each class that are made; words that are drawn from the corpus' character statistics.
+LEAST, NAMED, TRAIN_STRINGS, WORDS = 16, 8, 20_000, 4000
 MARK = "[SECRET]"
 
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/"
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/."
 _N = len(_ALPHABET) + 1  # the last is the start
 _CODE = np.full(256, -1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 _RUN = _CODE >= 0
-_SEPARATOR = np.isin(np.arange(256), [ord(c) for c in "_+/-"])
+_DOT = ord(".")
+_RUN[_DOT] = False  # one between two of the others is part of a run
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: What names a short secret.
+_NAMES = re.compile(rb"""(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?key)["']?[ \t]{0,3}[:=]>?[ \t]{0,3}["'`]?([A-Za-z0-9_+/-]+(?:\.[A-Za-z0-9_+/-]+)*)""")
+_SEPARATOR = np.isin(np.arange(256), [ord(c) for c in "_+/-."])
 #: Ranges of the Latin letters beyond ASCII, and of combining accents; of up to three bytes each.
 _LATIN = np.array([(0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x300, 0x36F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA787), (0xA78B, 0xA7FF), (0xAB30, 0xAB5A), (0xFB00, 0xFB06)])
 _WORDS = (
@@ -52,24 +64,40 @@ _WORDS = (
 ).split()
 
 
-def random_strings(rng: np.random.Generator, n: int) -> list[str]:
-    """Strings as keys, tokens and passwords are made."""
-    b62, hexa = _ALPHABET[:62], "0123456789abcdef"
-    kinds = [(hexa, 16, 64, ""), (hexa.upper(), 16, 64, ""), (b62, 16, 64, ""), (_ALPHABET[:26] + _ALPHABET[52:62], 16, 32, ""), (_ALPHABET[:26] + "234567", 16, 20, "AKIA"), (b62, 20, 40, "ghp_"), (b62, 20, 40, "sk_live_"), (_ALPHABET[26:62], 16, 40, ""), (_ALPHABET[:62] + "-_", 20, 64, ""), (_ALPHABET[:62] + "+/", 20, 64, "")]
+_B62, _HEX, _DIGITS = _ALPHABET[:62], "0123456789abcdef", "0123456789"
+#: Kinds of random strings: characters, least and most of them, what stands before.
+KINDS = {
+    "hex": (_HEX, 16, 64, ""), "upper hex": (_HEX.upper(), 16, 64, ""), "letters and digits": (_B62, 16, 64, ""), "upper": (_ALPHABET[:26] + _DIGITS, 16, 32, ""), "cloud key": (_ALPHABET[:26] + "234567", 16, 20, "AKIA"),
+    "forge token": (_B62, 20, 40, "ghp_"), "payment key": (_B62, 20, 40, "sk_live_"), "lower": (_ALPHABET[26:62], 16, 40, ""), "url base64": (_B62 + "-_", 20, 64, ""), "base64": (_B62 + "+/", 20, 64, ""), "dotted": (_B62 + "-_", 30, 64, ""),
+}
+
+
+def random_strings(rng: np.random.Generator, n: int, kinds: Sequence[str] = tuple(KINDS), short: bool = False) -> list[str]:
+    """Strings as keys, tokens and passwords are made, of these kinds in turn; short: NAMED to LEAST - 1 characters."""
     out = []
     for i in range(n):
-        chars, lo, hi, head = kinds[i % len(kinds)]
-        out.append(head + "".join(rng.choice(list(chars), rng.integers(lo, hi + 1))))
+        kind = kinds[i % len(kinds)]
+        chars, lo, hi, head = KINDS[kind]
+        if short:
+            lo, hi, head = NAMED, LEAST - 1, ""
+        s = "".join(rng.choice(list(chars), rng.integers(lo, hi + 1)))
+        if kind == "dotted" and not short:
+            at = len(s) // 3
+            s = ".".join((s[:at].strip("-_") or "A", s[at : 2 * at], s[2 * at :]))
+        out.append(head + s)
     return out
 
 
-def ordinary_strings(rng: np.random.Generator, n: int, words: list[str]) -> list[str]:
-    """Identifiers, paths, dates, numbers of 16 to 20 digits and long words as they occur in texts and code."""
+def ordinary_strings(rng: np.random.Generator, n: int, words: list[str], short: bool = False) -> list[str]:
+    """Identifiers, paths, hosts, files, versions, dates, numbers of 16 to 20 digits, one character repeated, and long words as they occur in texts and code.
+
+    short: of NAMED to LEAST - 1 characters.
+    """
     words = [*_WORDS, *words]
     out = []
     for i in range(n):
-        w = [words[k] for k in rng.integers(0, len(words), rng.integers(2, 6))]
-        kind = i % 9
+        w = [words[k] for k in rng.integers(0, len(words), rng.integers(1, 3) if short else rng.integers(2, 6))]
+        kind = i % 14
         if kind == 0:
             s = "_".join(w)
         elif kind == 1:
@@ -85,13 +113,26 @@ def ordinary_strings(rng: np.random.Generator, n: int, words: list[str]) -> list
         elif kind == 6:
             s = "_".join([*w, str(rng.integers(0, 10 ** int(rng.integers(1, 5))))])
         elif kind == 7:
-            s = "".join(rng.choice(list("0123456789"), rng.integers(16, 21)))
-        else:
+            s = "".join(rng.choice(list(_DIGITS), rng.integers(NAMED, LEAST) if short else rng.integers(16, 21)))
+        elif kind == 8:
             s = rng.choice(["20%02d-%02d-%02d-%02d%02d%02d-00", "+%02d-%02d%02d-%02d%02d-%02d00", "%02d%02d%02d%02d%02d%02d0000"]) % tuple(rng.integers(10, 60, 6))
-        while len(s) < LEAST:
+        elif kind == 9:
+            s = ".".join(w)
+        elif kind == 10:
+            s = "www." + "-".join(w[:2]) + rng.choice([".com", ".org", ".net", ".de", ".co.uk"]) + "/" + "/".join(w[2:])
+        elif kind == 11:
+            s = "_".join(w) + rng.choice([".tar.gz", ".html", ".json", ".py", ".jpg", ".v2.csv"])
+        elif kind == 12:
+            s = rng.choice(list(_ALPHABET[:-1])) * int(rng.integers(LEAST, 65))  # lines and fillers
+        else:
+            s = rng.choice(["%d.%d.%d-%d", "192.168.%d.%d-10.%d.0.%d", "%d.%d%d%d"]) % tuple(rng.integers(0, 255, 4))
+        if short:
+            s = s[: int(rng.integers(NAMED, LEAST))].strip("._-/+")
+        while len(s) < (NAMED if short else LEAST):
             s += "_" + words[int(rng.integers(0, len(words)))]
-        out.append("".join(c for c in s if _CODE[ord(c) & 255] >= 0 and ord(c) < 128))
-    return [s for s in out if len(s) >= LEAST]
+        s = "".join(c for c in s if ord(c) < 128 and _CODE[ord(c)] >= 0)
+        out.append(s[: LEAST - 1] if short else s)
+    return [s for s in out if len(s) >= (NAMED if short else LEAST)]
 
 
 def _contexts(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +147,10 @@ def _contexts(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Detector:
-    """Ratio of the models' log probabilities, and the threshold per character."""
+    """Ratio of the models' log probabilities, and the thresholds per character: of candidates, and of short ones that are named."""
 
-    def __init__(self, ratio: np.ndarray, threshold: float):
-        self.ratio, self.threshold = ratio, threshold
+    def __init__(self, ratio: np.ndarray, threshold: float, named: float = np.inf):
+        self.ratio, self.threshold, self.named = ratio, threshold, named
 
     def sums(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihood ratio of all characters before each, offsets by string)."""
@@ -172,35 +213,99 @@ def _log_model(strings: list[str]) -> np.ndarray:
     return np.log((tri + 4 * p2[None]) / (tri.sum(2, keepdims=True) + 4)).reshape(-1)
 
 
-def train(words: list[str], strings: int = TRAIN_STRINGS, seed: int = 5) -> Detector:
-    """Models from labelled strings: random ones, and ordinary ones made of words.
-
-    A quarter of the strings is held out to choose the threshold: the middle of the
-    range in which their errors, with false alarms counted ten times, are least.
-    """
-    rng = np.random.default_rng(seed)
-    pos, neg = random_strings(rng, strings), ordinary_strings(rng, strings, words)
-    cut = [len(x) * 3 // 4 for x in (pos, neg)]
-    found = Detector((_log_model(pos[: cut[0]]) - _log_model(neg[: cut[1]])).astype(np.float32), 0.0)
-    p, q = (np.sort(found.score([s.encode() for s in x[c:]])) for x, c in zip((pos, neg), cut))
+def _threshold(positive: np.ndarray, negative: np.ndarray) -> float:
+    """The middle of the range in which the errors, with false alarms counted ten times, are least."""
+    p, q = np.sort(positive), np.sort(negative)
     tries = np.unique(np.concatenate([p, q]))
     loss = np.searchsorted(p, tries) + 10 * (len(q) - np.searchsorted(q, tries))
     best = np.flatnonzero(loss == loss.min())
     below = tries[best[0] - 1] if best[0] else tries[best[0]]
-    found.threshold = float((below + tries[best[-1]]) / 2)
-    return found
+    return float((below + tries[best[-1]]) / 2)
 
 
-def detector(docs: DataFrame, most: int = TRAIN_DOCS) -> Detector:
-    """Trained with ordinary words of at most `most` documents, those of least id hash.
+def fit(secret: list[str], ordinary: list[str], short_secret: Sequence[str] = (), short_ordinary: Sequence[str] = ()) -> Detector:
+    """Models and thresholds from labelled samples.
 
-    A word of letters only is labelled as ordinary.
+    Of each class the last quarter is held out of the models, and chooses the threshold. Without short samples
+    of both classes, short candidates are left alone.
     """
-    rows = texts(docs)
-    ids = [r[0] for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    got = rows.filter(F.col("doc_id").isin(ids)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9_])([A-Za-z]{4,24})(?![A-Za-z0-9_])")))).alias("w")) if ids else None
-    words = sorted(r[0] for r in got.groupBy("w").count().orderBy(F.xxhash64("w"), "w").limit(20_000).collect()) if ids else []
-    return train(words)
+    cut = [len(x) * 3 // 4 for x in (secret, ordinary, short_secret, short_ordinary)]
+    found = Detector((_log_model([*secret[: cut[0]], *short_secret[: cut[2]]]) - _log_model([*ordinary[: cut[1]], *short_ordinary[: cut[3]]])).astype(np.float32), 0.0)
+    score = lambda x: found.score([s.encode() for s in x])
+    found.threshold = _threshold(score(secret[cut[0] :]), score(ordinary[cut[1] :]))
+    if short_secret and short_ordinary:
+        found.named = _threshold(score(short_secret[cut[2] :]), score(short_ordinary[cut[3] :]))
+    return found
+
+
+def train(words: list[str], strings: int = TRAIN_STRINGS, seed: int = 5, kinds: Sequence[str] = tuple(KINDS), samples: Sequence[tuple[str, int]] = ()) -> Detector:
+    """fit() on labelled strings: random ones of these kinds, ordinary ones made of words, and `samples` (string, 1 for a secret)."""
+    rng = np.random.default_rng(seed)
+    made = [random_strings(rng, strings, kinds), ordinary_strings(rng, strings, words), random_strings(rng, strings // 4, kinds, True), ordinary_strings(rng, strings // 4, words, True)]
+    for text, secret in samples:
+        for part in re.findall(r"[A-Za-z0-9_+/.-]+", text):
+            if len(part) >= NAMED:
+                made[(len(part) < LEAST) * 2 + 1 - int(secret)].append(part)
+    if samples:
+        made = [[x[k] for k in rng.permutation(len(x))] for x in made]
+    return fit(*made)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, n): how often each two letters of a word are followed by a third, or by its end."""
+    total = np.zeros(_N**3, np.int64)
+    for batch in batches:
+        for part in T.slices(batch):
+            raw, offs = T.buffers(part.column("text"))
+            n = len(raw)
+            word, before = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+            word[:n] = _LETTER[raw]
+            before[1:] = word[:-1]
+            edge = np.zeros(n + 1, bool)
+            edge[offs] = True
+            s, e = np.flatnonzero(word & (~before | edge)), np.flatnonzero(before & (~word | edge))
+            other = np.append(~_LETTER[raw] & (_RUN[raw] | (raw >= 128)), False)  # part of something else than a word
+            fine = (e - s >= 4) & (edge[s] | ~other[s - 1]) & (edge[e] | ~other[e])
+            s, e = s[fine], e[fine]
+            size = e - s + 1
+            at = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            place = at - np.repeat(s, size)
+            code = np.where(place < np.repeat(e - s, size), _CODE[raw[np.minimum(at, max(n - 1, 0))]], _N - 1)
+            one, two = np.roll(code, 1), np.roll(code, 2)
+            one[place < 1], two[place < 2] = _N - 1, _N - 1
+            total += np.bincount((two * _N + one) * _N + code, minlength=_N**3)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"context": some, "n": total[some]})
+
+
+def drawn_words(counts: np.ndarray, n: int = WORDS, seed: int = 11) -> list[str]:
+    """Words as the character statistics (counts by context) have them, of 4 to 24 letters; none without counts."""
+    if not counts.sum():
+        return []
+    rng = np.random.default_rng(seed)
+    by = counts.reshape(_N * _N, _N)
+    upto = np.cumsum(by, 1) / np.maximum(by.sum(1, keepdims=True), 1)
+    two = one = np.full(n, _N - 1)
+    out, live = np.full((n, 24), -1), np.ones(n, bool)
+    for k in range(24):
+        nxt = (upto[two * _N + one] <= rng.random(n)[:, None]).sum(1)
+        live &= nxt < _N - 1
+        out[live, k] = nxt[live]
+        two, one = one, np.where(live, nxt, _N - 1)
+    words = ("".join(_ALPHABET[c] for c in row if c >= 0) for row in out)
+    return [w for w in words if len(w) >= 4]
+
+
+def detector(docs: DataFrame, samples: DataFrame | None = None) -> Detector:
+    """Trained with words drawn from the character statistics of all documents' words, which are labelled as ordinary.
+
+    samples: labelled strings (value, secret 0 or 1) to learn from as well; nulls are left out, and they come to the driver.
+    """
+    got = texts(docs).select("text").mapInArrow(_word_counts, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_N**3, np.int64)
+    counts[got.column("context").to_numpy()] = got.column("n").to_numpy()
+    more = [(r.value, r.secret) for r in samples.select("value", "secret").filter("value IS NOT NULL AND secret IN (0, 1)").orderBy("value", "secret").collect()] if samples is not None else ()
+    return train(drawn_words(counts), samples=more)
 
 
 def _latin(raw: np.ndarray) -> np.ndarray:
@@ -225,6 +330,8 @@ def _runs(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     n = len(raw)
     run = np.zeros(n + 1, bool)
     run[:n] = _RUN[raw]
+    dot = np.flatnonzero(raw[1:-1] == _DOT) + 1 if n > 2 else np.zeros(0, np.int64)
+    run[dot[run[dot - 1] & run[dot + 1]]] = True
     edge, before = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     edge[offs] = True
     before[1:] = run[:-1]
@@ -241,12 +348,31 @@ def _runs(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.searchsorted(offs, s, "right") - 1, s, e
 
 
+def _named(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) in bytes of the short candidates that are named."""
+    apart = np.insert(raw, offs[1:-1], 10) if len(offs) > 2 else raw  # a line end between texts
+    spans = [m.span(1) for m in _NAMES.finditer(apart.tobytes())]
+    at = np.array([x for x in spans if NAMED <= x[1] - x[0] < LEAST], np.int64).reshape(-1, 2)
+    row = np.searchsorted(offs + np.arange(len(offs)), at[:, 0], "right") - 1
+    at = at - row[:, None]
+    fine = (at[:, 1] == offs[row + 1]) | ~_latin(raw)[at[:, 1]]
+    return row[fine], at[fine, 0], at[fine, 1]
+
+
 def _found(found: Detector, column: pa.Array):
     raw, offs = T.buffers(column)
     row, s, e = _runs(raw, offs)
     got = found.find([raw[a:b].tobytes() for a, b in zip(s, e)])
     k, a, b = (np.array([x[c] for x in got], np.int64) for c in range(3))
-    return raw, offs, row[k], s[k] + a, s[k] + b, np.array([x[3] for x in got])
+    row, s, e, score = row[k], s[k] + a, s[k] + b, np.array([x[3] for x in got])
+    if np.isfinite(found.named):
+        r, a, b = _named(raw, offs)
+        x = found.score([raw[i:j].tobytes() for i, j in zip(a, b)])
+        hit = x > found.named
+        row, s, e, score = (np.concatenate(z) for z in ((row, r[hit]), (s, a[hit]), (e, b[hit]), (score, x[hit])))
+        by = np.argsort(s, kind="stable")
+        row, s, e, score = row[by], s[by], e[by], score[by]
+    return raw, offs, row, s, e, score
 
 
 def _scan(found: Detector):

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import ugly
+from pyspark.sql import functions as F
 
 from keyforge.llm import learn, quality, secrets, toxicity
 from keyforge.llm import text as T
@@ -140,6 +141,52 @@ def test_secrets_of_held_out_kinds():
     assert score(pos).mean() >= 0.98 and score(neg).mean() <= 0.01
 
 
+@pytest.mark.parametrize("kind", secrets.KINDS)
+def test_secrets_of_kinds_left_out_of_training(kind):
+    rng = np.random.default_rng(98)
+    found = secrets.train([], strings=4000, seed=1, kinds=[k for k in secrets.KINDS if k != kind])
+    score = lambda x: found.score([s.encode() for s in x])
+    assert (score(secrets.random_strings(rng, 500, [kind])) > found.threshold).mean() >= 0.95
+    assert (score(secrets.random_strings(rng, 500, [kind], short=True)) > found.named).mean() >= 0.9
+    assert (score(secrets.ordinary_strings(rng, 1000, [])) > found.threshold).mean() <= 0.01 and (score(secrets.ordinary_strings(rng, 1000, [], short=True)) > found.named).mean() <= 0.02
+
+
+def test_dotted_and_short_secrets():
+    found = secrets.train([], strings=6000)
+    rng = np.random.default_rng(7)
+    part = lambda n: "".join(rng.choice(list(secrets._B62), n))
+    dotted = [f"SG.{part(14)}.{part(15)}" for _ in range(200)]
+    _, _, row, s, e, _ = secrets._found(found, pa.array([f"It is {x}. Next" for x in dotted]))
+    assert len(set(row.tolist())) >= 190 and all(e - s >= 16)
+    assert not len(secrets._found(found, pa.array(["See www.example-shop.com/about/people.html. And org.example.project.module.Name, version 1.24.3-beta or 192.168.10.254.", "ends.like this.And goes on...and.so.on"]))[2])
+    texts = ["password=x7Qp2Zk9", 'api_key: "9fK2mQ7zXb"', "TOKEN => 4d8a0f7c2e19", "the word x7Qp2Zk9 alone", "password=" + "x7Qp2Zk9é", "password=different", "secret: document", "password", "=x7Qp2Zk9"]
+    raw, _, row, s, e, _ = secrets._found(found, pa.array(texts))
+    assert [(int(r), raw[a:b].tobytes().decode()) for r, a, b in zip(row, s, e)] == [(0, "x7Qp2Zk9"), (1, "9fK2mQ7zXb"), (2, "4d8a0f7c2e19")]
+
+
+def test_labelled_samples_are_learnt_from(spark):
+    """Codes that look random to the models are ordinary where samples say so."""
+    rng = np.random.default_rng(3)
+    codes = ["".join(rng.choice(list("QXZ0189"), 20)) for _ in range(3000)]
+    docs = spark.createDataFrame([(1, f"the article {codes[-1]} here"), (2, "a key 9f8e3c71b2d60a45c7e19b03 there"), (3, None)], "doc_id long, text string")
+    plain = {r.doc_id for r in secrets.secrets(docs).collect()}
+    samples = spark.createDataFrame([(c, 0) for c in codes[:-1]] + [(None, 1), ("x", None)], "value string, secret int")
+    assert plain == {1, 2} and {r.doc_id for r in secrets.secrets(docs, secrets.detector(docs, samples)).collect()} == {2}
+
+
+def test_words_are_drawn_from_all_documents(spark):
+    docs = [(k, "Donaudampfschiff fährt flussaufwärts " * 3 + f"x{k}y abc_def") for k in range(40)] + [(50, None), (51, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    counts = np.zeros(secrets._N**3, np.int64)
+    for r in df.mapInArrow(secrets._word_counts, "context long, n long").collect():
+        counts[r.context] += r.n
+    # only whole words of ASCII letters, of four on: the one long word, 3 times in each of 40 texts
+    assert counts.sum() == 40 * 3 * len("Donaudampfschiff" + ".")
+    words = secrets.drawn_words(counts, 500)
+    assert len(words) > 100 and all(w.startswith("Dona") for w in words) and "Donaudampfschiff" in words
+    assert secrets.drawn_words(np.zeros(secrets._N**3, np.int64)) == []
+
+
 def test_secrets_query_finds_the_planted_ones(spark):
     docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
     want = {(k, m) for k, t in docs.items() for m in PLANTED.findall(t)}
@@ -207,3 +254,10 @@ def test_secrets_on_ugly_tables(spark):
     df = ugly.documents(spark)
     assert secrets.redact(df).columns == df.columns and secrets.redact(df).count() == df.count()
     assert secrets.secrets(ugly.empty(spark)).count() == 0 == secrets.redact(ugly.empty(spark)).count()
+    assert secrets.secrets(df).count() == 0 and ugly.rows(secrets.redact(df)) == ugly.rows(df)  # nothing there is a secret
+    found, key = secrets.train([], strings=4000), "9f8e3c71b2d60a45c7e19b03"
+    with_keys = df.withColumn("text", F.when(F.col("doc_id").isNull() | (F.col("doc_id") < 10), F.concat("text", F.lit(f" {key}"))).otherwise(F.col("text")))
+    got = {r.doc_id for r in secrets.secrets(with_keys, found).collect()}
+    assert got == {1, 2, 3, 5, 6, 7, 8, 9}
+    assert secrets.redact(with_keys, found).filter(F.col("text").endswith(secrets.MARK)).count() == with_keys.filter(F.col("text").endswith(key)).count()
+    assert secrets.redact(with_keys, found).filter(F.col("text").contains(key)).isEmpty()
