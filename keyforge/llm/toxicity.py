@@ -22,7 +22,7 @@ from .learn import best_threshold, labelled, sigmoid
 #: Least distance of the threshold from the score of no evidence.
 MARGIN = 0.15
 #: Production parameters: hash bits of a term, factors, epochs, folds for threshold and trust, labelled documents to train on at most, and the seed.
-BITS, FACTORS, EPOCHS, FOLDS, TRAIN_DOCS, SEED = 40, 8, 10, 4, 4000, 3
+BITS, FACTORS, EPOCHS, FOLDS, TRAIN_DOCS, SEED = 40, 8, 8, 3, 4000, 3
 #: How far a term's own evidence sets its weight: TRUSTS are tried, 0 (all alike) and 1 - FLOOR. Chi-squared of half the weight, documents of half the weight.
 FLOOR, EVIDENCE, SUPPORT = 0.01, 20.0, 5.0
 TRUSTS = (1 - FLOOR, 0.0)
@@ -125,21 +125,25 @@ def _train(terms: np.ndarray, rows: np.ndarray, y: np.ndarray, train: np.ndarray
     size_of = df / (df + SUPPORT) * (1 - trust + trust * (chi / (chi + EVIDENCE)) ** 2)
     w0, w, v = 0.0, np.zeros(len(df)), rng.normal(0, _START, (len(df), factors))
     weight = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
+    batches = []
+    for b in np.array_split(rng.permutation(train), max(1, n // _BATCH)):
+        size = first[b + 1] - first[b]
+        i = at[np.repeat(first[b] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+        r, x = np.repeat(np.arange(len(b)), size), size_of[i]
+        batches.append((b, i, r, x, np.bincount(r, x * x, len(b)), *np.unique(i, return_inverse=True)))
     for epoch in range(epochs):
         step = _STEP * (1.05 - epoch / epochs)
-        for b in np.array_split(rng.permutation(train), max(1, n // _BATCH)):
-            size = first[b + 1] - first[b]
-            i = at[np.repeat(first[b] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-            r, x = np.repeat(np.arange(len(b)), size), size_of[i]
+        for k in rng.permutation(len(batches)):
+            b, i, r, x, norm, u, inv = batches[k]
             vx = v[i] * x[:, None]
             total = np.stack([np.bincount(r, vx[:, f], len(b)) for f in range(factors)], 1)
-            z = w0 + np.bincount(r, w[i] * x, len(b)) + 0.5 * ((total**2).sum(1) - np.bincount(r, (vx**2).sum(1), len(b)))
-            g = weight[b] * (sigmoid(z) - y[b]) / (1 + _DAMP * np.bincount(r, x * x, len(b)) * (1 + (total**2).sum(1)))
-            u, inv = np.unique(i, return_inverse=True)
+            square = (total**2).sum(1)
+            z = w0 + np.bincount(r, w[i] * x, len(b)) + 0.5 * (square - np.bincount(r, (vx**2).sum(1), len(b)))
+            g = weight[b] * (sigmoid(z) - y[b]) / (1 + _DAMP * norm * (1 + square))
             e = g[r] * x
-            rest = total[r] - vx
+            rest = (total[r] - vx) * e[:, None]
             w[u] -= step * (np.bincount(inv, e, len(u)) + _DECAY * w[u])
-            v[u] -= step * (np.stack([np.bincount(inv, e * rest[:, f], len(u)) for f in range(factors)], 1) + _DECAY * v[u])
+            v[u] -= step * (np.stack([np.bincount(inv, rest[:, f], len(u)) for f in range(factors)], 1) + _DECAY * v[u])
             w0 -= step * g.mean()
     w, v = w * size_of, v * size_of[:, None]
     # what can't move a score by a thousandth is left out
