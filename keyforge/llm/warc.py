@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -111,61 +112,83 @@ def contents(f, member: Member) -> bytes:
     return gzip.decompress(data) if member.name.endswith(".gz") else data
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, block) of a WARC record; ValueError if it isn't one."""
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the WARC records in data, which may be one gzip stream; ValueError where there is none, or a part."""
     if data[:2] == b"\x1f\x8b":
-        data = zlib.decompressobj(31).decompress(data)
-    head, sep, rest = data.partition(b"\r\n\r\n")
-    if not sep or not head.startswith(b"WARC/"):
-        raise ValueError("no WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8").split("\r\n")[1:])}
-    return headers, rest[: int(headers.get("content-length", len(rest)))]
-
-
-def scan_offsets(f, member: Member) -> list[tuple[int, int]]:
-    """(offset in the member, length) of its records, for a package without an index of them."""
-    f.seek(member.offset)
-    out, at, left = [], 0, member.size
+        d = zlib.decompressobj(31)
+        data = d.decompress(data) + d.flush()
+        if not d.eof:
+            raise ValueError("truncated gzip stream")
+    at = 0
+    while at == 0 or data[at:].strip(b"\r\n"):
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0 or data[at : at + 5] != b"WARC/":
+            raise ValueError("no WARC record")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8").split("\r\n")[1:])}
+        size = int(headers.get("content-length", len(data) - end - 4))
+        if size < 0 or end + 4 + size > len(data):
+            raise ValueError("truncated WARC record")
+        yield headers, data[end + 4 : end + 4 + size]
+        at = end + 4 + size
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+
+
+def scan_offsets(f, member: Member, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """(offset in the member, length) of the records between two of its offsets, where no index names them.
+
+    What isn't a record up to the end is one more, which can't be read.
+    """
+    end = member.size if end is None else end
+    f.seek(member.offset + start)
+    out, at, left = [], start, end - start
     if member.name.endswith(".gz"):
-        data, d, began = b"", zlib.decompressobj(31), 0
+        data, d, began = b"", zlib.decompressobj(31), start
         while left or data:
             if not data:
                 data = f.read(min(left, READ_BYTES))
                 left -= len(data)
                 if not data:
                     break
-            d.decompress(data)
+            try:
+                d.decompress(data)
+            except zlib.error:
+                break
             at += len(data) - len(d.unused_data)
             data = d.unused_data
             if d.eof:
                 out.append((began, at - began))
                 began, d = at, zlib.decompressobj(31)
-        return out
+        return out + [(began, end - began)] * (began < end)
     data = b""
-    while at < member.size:
-        while b"\r\n\r\n" not in data and left:
+    while at < end:
+        while b"\r\n\r\n" not in data.lstrip(b"\r\n") and left:
             data += (x := f.read(min(left, READ_BYTES)))
             left -= len(x)
             if not x:
                 break
-        head, sep, _ = data.partition(b"\r\n\r\n")
-        size = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-        if not sep or size is None:
+        blank = len(data) - len(data.lstrip(b"\r\n"))  # between records
+        if blank == len(data) and not left:
+            break
+        head, sep, _ = data[blank:].partition(b"\r\n\r\n")
+        size = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if re.fullmatch(rb"(?i)content-length:\s*\d+\s*", x)), None)
+        if not sep or size is None or not head.startswith(b"WARC/"):
+            out.append((at + blank, end - at - blank))
             break
-        length = len(head) + 4 + size + 4
-        out.append((at, length))
-        at += length
+        length = min(len(head) + 4 + size, end - at - blank)
+        out.append((at + blank, length))
+        at += blank + length
         f.seek(member.offset + at)
-        left, data = member.size - at, b""
+        left, data = end - at, b""
     return out
 
 
 def _json(line: bytes) -> dict | None:
-    """The JSON of a CDXJ line: what follows the key and the time."""
+    """The JSON of a CDXJ line, what follows the key and the time: its filename, offset and length; None if it isn't usable."""
     try:
         found = json.loads(line.split(b" ", 2)[-1])
-        return found if isinstance(found, dict) and {"offset", "length"} <= set(found) else None
-    except ValueError:
+        return {"filename": found["filename"].removeprefix("archive/"), "offset": int(found["offset"]), "length": int(found["length"])}
+    except (ValueError, TypeError, KeyError, AttributeError):
         return None
 
 
@@ -176,19 +199,24 @@ def locate(f) -> list[tuple[int, int]]:
     packed = [m.name for m in archives.values() if m.method]
     if packed:
         raise ValueError(f"archive members aren't stored: {packed[:3]}")
-    found: list[tuple[int, int]] = []
-    indexed: set[str] = set()
+    named: dict[str, set[tuple[int, int]]] = {name: set() for name in archives}
     for m in members:
         if m.name.startswith("indexes/") and m.name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
             for line in contents(f, m).split(b"\n"):
                 entry = _json(line)
-                if entry and (a := archives.get("archive/" + entry.get("filename", "").removeprefix("archive/"))):
-                    indexed.add(a.name)
-                    if 0 <= (o := int(entry["offset"])) and (n := int(entry["length"])) > 0 and o + n <= a.size:
-                        found.append((a.offset + o, n))
+                if entry and (a := archives.get("archive/" + entry["filename"])):
+                    o, n = entry["offset"], entry["length"]
+                    if o >= 0 and n > 0 and o + n <= a.size:
+                        named[a.name].add((o, n))
+    found: list[tuple[int, int]] = []
     for name, a in archives.items():
-        if name not in indexed:
-            found += [(a.offset + o, n) for o, n in scan_offsets(f, a)]
+        upto = 0
+        for o, n in [*sorted(named[name]), (a.size, 0)]:
+            if o > upto:  # a gap, or the whole of a member without an index
+                found += [(a.offset + x, k) for x, k in scan_offsets(f, a, upto, o)]
+            if n:
+                found.append((a.offset + o, n))
+            upto = max(upto, o + n)
     return sorted(set(found))
 
 
@@ -198,59 +226,67 @@ def _open(path: str):
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, start, offsets, lengths): records to read together, READ_BYTES apart at most."""
+    """(path, offsets, lengths, error): records to read together, READ_BYTES apart at most; or what is wrong with the package."""
     for batch in batches:
         for path in batch.column("path").to_pylist():
             fs, name = _open(path)
-            with fs.open_input_file(name) as f:
-                spans = locate(f)
-            out, run = [], []
+            out, run, error = [], [], None
+            try:  # other errors of the file system end the task, which is tried again
+                with fs.open_input_file(name) as f:
+                    spans = locate(f)
+            except (ValueError, struct.error, zlib.error, EOFError, gzip.BadGzipFile, FileNotFoundError) as e:
+                spans, error = [], f"{type(e).__name__}: {e}"
             for o, n in spans:
                 if run and (o + n - run[0][0] > READ_BYTES or o > run[-1][0] + run[-1][1] + 65536):
                     out.append(run)
                     run = []
                 run.append((o, n))
-            out += [run] if run else []
-            yield pa.RecordBatch.from_pydict({"path": [path] * len(out), "offsets": [[o for o, _ in r] for r in out], "lengths": [[n for _, n in r] for r in out]}, schema=_SPANS)
+            out += [run] if run or error else []
+            yield pa.RecordBatch.from_pydict({"path": [path] * len(out), "offsets": [[o for o, _ in r] for r in out], "lengths": [[n for _, n in r] for r in out], "error": [error] * len(out)}, schema=_SPANS)
 
 
-_SPANS = pa.schema([("path", pa.string()), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+_SPANS = pa.schema([("path", pa.string()), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("error", pa.string())])
 _RECORD = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("url", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("error", pa.string())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _RECORD)], schema=_RECORD)
     for batch in batches:
-        for path, offsets, lengths in zip(*(batch.column(c).to_pylist() for c in ("path", "offsets", "lengths"))):
+        for path, offsets, lengths, error in zip(*(batch.column(c).to_pylist() for c in ("path", "offsets", "lengths", "error"))):
+            if error is not None:
+                yield batch_of([(path, None, None, None, [], None, error)])
+                continue
             fs, name = _open(path)
             with fs.open_input_file(name) as f:
                 f.seek(offsets[0])
-                data = memoryview(f.read(offsets[-1] + lengths[-1] - offsets[0]))
+                data = memoryview(f.read(max(o + n for o, n in zip(offsets, lengths)) - offsets[0]))
             rows, held = [], 0
             for o, n in zip(offsets, lengths):
                 try:
-                    headers, block = parse_record(bytes(data[o - offsets[0] : o - offsets[0] + n]))
-                    rows.append((path, o, headers.get("warc-type"), headers.get("warc-target-uri"), list(headers.items()), block, None))
-                    held += len(block)
-                except (ValueError, zlib.error, UnicodeDecodeError) as e:
+                    for headers, block in parse_records(bytes(data[o - offsets[0] : o - offsets[0] + n])):
+                        rows.append((path, o, headers.get("warc-type"), headers.get("warc-target-uri"), list(headers.items()), block, None))
+                        held += len(block)
+                except (ValueError, zlib.error) as e:
                     rows.append((path, o, None, None, [], None, str(e)))
                 if held > READ_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _RECORD)], schema=_RECORD)
+                    yield batch_of(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _RECORD)], schema=_RECORD)
+                yield batch_of(rows)
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """Records of the packages named in column path: (path, offset, type, url, headers, block, error).
 
     Paths are of any file system that pyarrow knows, with range reads. A damaged record has an
-    error and no block; a file that isn't a ZIP package, or whose archive
-    members aren't stored, fails the query. Null paths are left out and equal ones
-    read once. A package without records gives no rows. Records that no index names are found by scanning their member.
+    error and no block, and so has, with a null offset, a file that isn't there, isn't a ZIP package, or whose
+    archive members aren't stored. Null paths are left out and equal ones
+    read once. A package without records gives no rows. Index lines that aren't usable are passed over; what
+    no index names is found by scanning the gaps. Records of one gzip stream have its offset.
     """
     importable(packages.sparkSession)
     paths = packages.select(F.col("path").cast("string").alias("path")).filter("path IS NOT NULL").distinct()
-    spans = cut(paths.mapInArrow(_located, "path string, offsets array<long>, lengths array<long>"))
+    spans = cut(paths.mapInArrow(_located, "path string, offsets array<long>, lengths array<long>, error string"))
     # a span is a few bytes here and READ_BYTES of work: tasks are counted by spans, not by shuffled bytes
     tasks = max(1, -(-spans.count() // SPANS))
     parts = spans.repartition(tasks)
@@ -276,6 +312,22 @@ def package(records: list[tuple[dict[str, str], bytes]]) -> bytes:
     return out.getvalue()
 
 
+def _headers(page: int | None, url: str | None, html: str | None) -> dict[str, str]:
+    """Of a page's record: the id names it, a null url has no target and a null html no type.
+
+    A url that a header can't hold as it is (line ends, spaces around it) is percent-encoded there, and kept beside.
+    """
+    out = {"WARC-Type": "resource", "WARC-Record-ID": f"<urn:page:{'' if page is None else page}:{uuid.uuid4()}>", "WARC-Date": "2024-01-01T00:00:00Z"}
+    if url is not None:
+        plain = url == url.strip() and not any(c < " " or c in "\x7f\x85\u2028\u2029" for c in url)
+        out["WARC-Target-URI"] = url if plain else "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
+        if not plain:
+            out["X-Target"] = json.dumps({"url": url})
+    if html is not None:
+        out["Content-Type"] = "text/html"
+    return out
+
+
 def _pack(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
@@ -292,8 +344,7 @@ def _pack(folder: str):
         for batch in batches:
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 block = (html or "").encode()
-                plain = "".join(c if c > " " and c != "\x7f" else "%20" for c in url or "")
-                held.append(({"WARC-Type": "resource", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Target-URI": plain, "Content-Type": "text/html", "X-Row": json.dumps({"page_id": page, "url": url, "null": html is None})}, block))
+                held.append((_headers(page, url, html), block))
                 size += len(block)
                 if size >= PACKAGE_BYTES:
                     yield flush()
@@ -316,10 +367,11 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def pages_of(records: DataFrame) -> DataFrame:
-    """(page_id, url, html) of records that write_packages() wrote; damaged records are left out."""
-    row = F.from_json(F.element_at("headers", F.lit("x-row")), "page_id long, url string, `null` boolean")
-    got = records.filter("error IS NULL").withColumn("row", row)
-    return got.select("row.page_id", "row.url", F.when(~F.col("row.null"), F.decode("block", "UTF-8")).alias("html"))
+    """(page_id, url, html) of records that write_packages() wrote, by their headers; damaged records are left out."""
+    of = lambda name: F.try_element_at("headers", F.lit(name))
+    page = F.nullif(F.regexp_extract(of("warc-record-id"), "^<urn:page:(-?[0-9]*):", 1), F.lit("")).cast("long")
+    url = F.coalesce(F.from_json(of("x-target"), "url string")["url"], of("warc-target-uri"))
+    return records.filter("error IS NULL").select(page.alias("page_id"), url.alias("url"), F.when(of("content-type").isNotNull(), F.decode("block", "UTF-8")).alias("html"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

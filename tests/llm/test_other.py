@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import random
@@ -253,8 +254,54 @@ def test_damaged_packages(spark, tmp_path):
     assert warc.locate(io.BytesIO(_zip({}))) == []
 
 
+def _index(z):
+    """(archive, index lines by offset) of a package."""
+    lines = z.read("indexes/index.cdxj").decode().splitlines()
+    return z.read("archive/data.warc.gz"), sorted(lines, key=lambda x: int(json.loads(x[x.index("{") :])["offset"]))
+
+
+@pytest.mark.parametrize("kind", ["first", "last", "middle", "outside", "null name", "bad number", "no fields", "list", "none"])
+def test_what_an_index_leaves_out_is_scanned(spark, tmp_path, kind):
+    body, lines = _index(zipfile.ZipFile(io.BytesIO(warc.package(RECORDS))))
+    keep = {
+        "first": lines[:1], "last": lines[-1:], "middle": lines[2:4], "outside": ['x 1 {"filename": "data.warc.gz", "offset": "99999999", "length": "5"}'], "null name": ['x 1 {"filename": null, "offset": "0", "length": "5"}', *lines[1:]],
+        "bad number": ['x 1 {"filename": "data.warc.gz", "offset": "zero", "length": "5"}'], "no fields": ["x 1 {}", "x 1 {", lines[3]], "list": ["x 1 [1]"], "none": [""],
+    }[kind]
+    path = tmp_path / "p.wacz"
+    path.write_bytes(_zip({"archive/data.warc.gz": body, "indexes/index.cdxj": "\n".join(keep).encode()}))
+    got = warc.read_packages(spark.createDataFrame([(str(path),)], "path string")).collect()
+    assert sorted((r.url, bytes(r.block)) for r in got) == sorted((h["WARC-Target-URI"], b) for h, b in RECORDS) and not any(r.error for r in got)
+
+
+def test_bad_packages_and_records_are_rows(spark, tmp_path):
+    raw = lambda h, b: b"WARC/1.1\r\nWARC-Target-URI: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (h["WARC-Target-URI"].encode(), len(b), b)
+    every = b"".join(raw(*r) for r in RECORDS)
+    body, lines = _index(zipfile.ZipFile(io.BytesIO(warc.package(RECORDS))))
+    second = int(json.loads(lines[1][lines[1].index("{") :])["offset"])
+    files = {
+        "good": _zip({"archive/a.warc": every}), "junk": b"not a zip", "empty": b"", "packed": _zip({}, {"archive/a.warc": every}), "one stream": _zip({"archive/a.warc.gz": gzip.compress(every)}),
+        "cut off": _zip({"archive/a.warc": every[:-20]}), "cut gzip": _zip({"archive/a.warc.gz": body[:-9]}), "torn": _zip({"archive/a.warc.gz": body[:second] + b"\0" * 30, "indexes/i.cdxj": lines[0].replace("data.", "a.").encode()}), "text": _zip({"archive/a.warc": b"hello\r\n\r\nthere"}),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read_packages(spark.createDataFrame([(str(tmp_path / n),) for n in [*files, "missing"]], "path string")).collect()
+    got = Counter((r.path.rsplit("/", 1)[1], r.error is None, r.offset is None) for r in rows)
+    assert got == {
+        ("good", True, False): 6, ("junk", False, True): 1, ("empty", False, True): 1, ("packed", False, True): 1, ("missing", False, True): 1, ("one stream", True, False): 6, ("cut off", True, False): 5, ("cut off", False, False): 1,
+        ("cut gzip", True, False): 5, ("cut gzip", False, False): 1, ("torn", True, False): 1, ("torn", False, False): 1, ("text", False, False): 1,
+    }
+    assert sorted(bytes(r.block) for r in rows if r.path.endswith("one stream")) == sorted(b for _, b in RECORDS)
+
+
+def test_headers_of_pages(spark, tmp_path):
+    """Others read the records by the standard headers."""
+    df = spark.createDataFrame([(7, "https://example.org/a?b=%20c", "<p>"), (8, None, None)], "page_id long, url string, html string")
+    got = {r.headers["warc-record-id"].split(":")[2]: r for r in warc.read_packages(warc.write_packages(df, str(tmp_path / "w"))).collect()}
+    assert got["7"].url == "https://example.org/a?b=%20c" and got["7"].type == "resource" and "x-target" not in got["7"].headers and got["8"].url is None
+
+
 def test_pages_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/ b\nc", "<p>é</p>"), (1, "http://a/ b\nc", "<p>é</p>"), (2, None, None), (None, "", ""), (3, "x: y\r\n", "z" * 3_000_000), (4, "http://ü/{}", "\r\n\r\nWARC/1.0\0")]
+    rows = [(1, "http://a/ b\nc", "<p>é</p>"), (1, "http://a/ b\nc", "<p>é</p>"), (2, None, None), (None, "", ""), (3, "x: y\r\n", "z" * 3_000_000), (4, "http://ü/{}", "\r\n\r\nWARC/1.0\0"), (-5, " x ", "1"), (6, "a\u2028b", "2"), (7, "%0A%", "3")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("extra"))
     packages = warc.write_packages(df, str(tmp_path / "w"))
     got = warc.pages_of(warc.read_packages(packages))
