@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ from .jaccard_join import bands_for
 
 #: Production parameters: word 5-grams; share of an item's shingles; recall for an item at that share; least window step.
 NGRAM, THRESHOLD, RECALL, LEAST = 5, 0.8, 0.999, 16
-#: Items are sent to the tasks up to this many bytes of text; beyond it they are joined by shuffles.
+#: Keys and shingles of the items, and candidates, are each broadcast up to this many bytes; beyond it they are shuffled. The rows are the same.
 ITEM_BYTES = 32 << 20
+#: Bits of the filter that drops documents' keys which no item has.
+FILTER_BITS = 22
 
 
 #: Items of fewer shingles are joined on their shingles.
@@ -100,45 +103,6 @@ class Sketch:
             row = row[even]
 
 
-def _known(keys: np.ndarray, sketch: Sketch, levels: int, n: int):
-    """(doc_id, item_id, shared, total), where the items are at hand."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_keys, owner, small_keys, small_owner, item_grams, item_offs, item_ids = keys.value
-        hint, small_hint = np.zeros(1 << 16, bool), np.zeros(1 << 20, bool)
-        hint[item_keys & np.uint64(0xFFFF)] = True
-        small_hint[small_keys & np.uint64(0xFFFFF)] = True
-        for batch in batches:
-            for part in T.slices(batch):
-                grams, offs = T.Words(part.column("text")).grams(n)
-                hits: set[tuple[int, int]] = set()
-                for row, k in sketch.windows(grams, offs, levels):
-                    w, b = np.nonzero(hint[k & np.uint64(0xFFFF)])
-                    k = k[w, b]
-                    lo, hi = np.searchsorted(item_keys, k), np.searchsorted(item_keys, k, "right")
-                    for at in np.flatnonzero(hi > lo):
-                        hits |= {(int(row[w[at]]), int(i)) for i in owner[lo[at] : hi[at]]}
-                if len(small_keys):
-                    g = np.flatnonzero(small_hint[grams & np.uint64(0xFFFFF)])
-                    lo, hi = np.searchsorted(small_keys, grams[g]), np.searchsorted(small_keys, grams[g], "right")
-                    row = np.searchsorted(offs, g, "right") - 1
-                    for at in np.flatnonzero(hi > lo):
-                        hits |= {(int(row[at]), int(i)) for i in small_owner[lo[at] : hi[at]]}
-                out, held = [], {}
-                ids = part.column("doc_id").to_numpy()
-                for r, i in sorted(hits):
-                    if r not in held:
-                        held = {r: np.unique(grams[offs[r] : offs[r + 1]])}
-                    g = item_grams[item_offs[i] : item_offs[i + 1]]
-                    shared = int(np.isin(g, held[r], assume_unique=True).sum())
-                    out.append((ids[r], item_ids[i], shared, len(g)))
-                if out:
-                    a = np.array(out, np.int64)
-                    yield pa.RecordBatch.from_pydict({c: a[:, k] for k, c in enumerate(("doc_id", "item_id", "shared", "total"))})
-
-    return run
-
-
 def _item_rows(sketch: Sketch, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,28 +120,41 @@ def _item_rows(sketch: Sketch, n: int):
     return run
 
 
-def _document_keys(sketch: Sketch, levels: int, small_items: bool, n: int):
+def _document_keys(sketch: Sketch, levels: int, small_items: bool, seen, n: int):
+    """(doc_id, key) of the windows, and for small items of the shingles, of which some item may have the key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hint, mask = np.unpackbits(seen.value).astype(bool), np.uint64((1 << FILTER_BITS) - 1)
         for batch in batches:
             for part in T.slices(batch):
                 ids = part.column("doc_id").to_numpy()
                 grams, offs = T.Words(part.column("text")).grams(n)
                 for row, k in sketch.windows(grams, offs, levels):
-                    yield pa.RecordBatch.from_pydict({"doc_id": np.repeat(ids[row], sketch.bands), "key": T.signed(k.reshape(-1))})
+                    w, b = np.nonzero(hint[k & mask])
+                    if len(w):
+                        yield pa.RecordBatch.from_pydict({"doc_id": ids[row[w]], "key": T.signed(k[w, b])})
                 if small_items:
-                    yield pa.RecordBatch.from_pydict({"doc_id": np.repeat(ids, np.diff(offs)), "key": T.signed(grams)})
+                    at = np.flatnonzero(hint[grams & mask])
+                    if len(at):
+                        yield pa.RecordBatch.from_pydict({"doc_id": ids[np.searchsorted(offs, at, "right") - 1], "key": T.signed(grams[at])})
 
     return run
 
 
 def _verify(n: int):
+    """(doc_id, item_id, shared, total) of candidates (doc_id, text, item_id, grams); rows of one text follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch):
-                grams, offs = T.Words(part.column("text")).grams(n)
+                text = part.column("text")
+                new = np.ones(part.num_rows, bool)
+                new[1:] = pc.not_equal(text.slice(1), text.slice(0, part.num_rows - 1)).to_numpy(zero_copy_only=False)
+                of = np.cumsum(new) - 1
+                grams, offs = T.unique_by_row(*T.Words(text.filter(pa.array(new))).grams(n))
                 want = part.column("grams")
                 size = want.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                shared = [np.isin(want[r].values.to_numpy().view(np.uint64), grams[offs[r] : offs[r + 1]]).sum() for r in range(part.num_rows)]
+                shared = [np.isin(want[r].values.to_numpy().view(np.uint64), grams[offs[k] : offs[k + 1]], assume_unique=True).sum() for r, k in enumerate(of)]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "item_id": part.column("item_id"), "shared": np.array(shared, np.int64), "total": size})
 
     return run
@@ -198,23 +175,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, threshol
     docs = texts(docs)
     items = texts(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").distinct()
     items = cut(items.mapInArrow(_item_rows(sketch, n), "item_id long, grams array<long>, keys array<long>"))
-    least, most, total = items.agg(F.min(F.size("grams")), F.max(F.size("grams")), F.sum(F.size("grams") + F.size("keys"))).first()
+    least, most = items.agg(F.min(F.size("grams")), F.max(F.size("grams"))).first()
     levels = int(np.ceil(np.log2(max(most, LEAST) / LEAST))) + 1 if (most or 0) >= SMALL else 0
-    schema = "doc_id long, item_id long, shared long, total long"
-    if (total or 0) * 8 <= item_bytes:
-        rows = items.toArrow().combine_chunks()
-        size, each = (rows.column(name).combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, int) for name in ("grams", "keys"))
-        flat = [np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in rows.column(name).chunks)]).view(np.uint64) for name in ("grams", "keys")]
-        owner = np.repeat(np.arange(rows.num_rows), each)
-        order = np.argsort(flat[1], kind="stable")
-        banded, small_ones = (order[(size[owner[order]] < SMALL) == is_small] for is_small in (False, True))
-        known = docs.sparkSession.sparkContext.broadcast((flat[1][banded], owner[banded], flat[1][small_ones], owner[small_ones], flat[0], np.concatenate([[0], np.cumsum(size)]), rows.column("item_id").to_numpy()))
-        found = docs.mapInArrow(_known(known, sketch, levels, n), schema)
-    else:
-        keys = docs.mapInArrow(_document_keys(sketch, levels, (least or SMALL) < SMALL, n), "doc_id long, key long").distinct()
-        pairs = keys.join(items.select("item_id", F.explode("keys").alias("key")), "key").select("doc_id", "item_id").distinct()
-        full = docs.join(pairs, "doc_id").join(items.select("item_id", "grams"), "item_id")
-        found = full.select("doc_id", "item_id", "text", "grams").mapInArrow(_verify(n), schema)
+    keys = items.select("item_id", F.explode("keys").alias("key"))
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[keys.select(F.col("key").bitwiseAND((1 << FILTER_BITS) - 1).alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    seen = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    asked = docs.mapInArrow(_document_keys(sketch, levels, (least or SMALL) < SMALL, seen, n), "doc_id long, key long")
+    pairs = cut(asked.join(small(keys, 16, item_bytes), "key").select("doc_id", "item_id").distinct())
+    full = docs.join(small(pairs, 16, item_bytes), "doc_id").join(small(items.select("item_id", "grams"), 16 + 8 * F.size("grams"), item_bytes), "item_id")
+    found = full.select("doc_id", "item_id", "text", "grams").mapInArrow(_verify(n), "doc_id long, item_id long, shared long, total long")
     found = found.filter(F.col("shared") >= F.ceil(F.col("total") * F.lit(threshold) - 1e-9))
     return found.groupBy("doc_id", "item_id").agg(F.max(F.col("shared") / F.col("total")).alias("containment"))
 
