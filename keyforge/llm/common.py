@@ -3,67 +3,37 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast up to this estimate of its bytes; a larger one is shuffled.
-BROADCAST_BYTES = 64 << 20
+from ..shared import cut, scratch, ship
 
+__all__ = ["cut", "importable", "one_row_per_id", "scratch", "small", "table", "texts", "without"]
 
+#: A side is broadcast up to this estimate of its bytes; a larger one is shuffled.
+BROADCAST_BYTES = 64 << 20
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MALLOC = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
-_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def importable(spark: SparkSession) -> SparkSession:
     """Prepare the session's Python workers, which live long and are many on a host.
 
-    They import the package from where the driver has it, get batches of a few MB, and
-    return freed memory to the system instead of keeping it.
+    They can import the package, return freed memory to the system instead of keeping it, and get
+    batches of a few MB, unless the session sets spark.sql.execution.arrow.maxBytesPerBatch itself.
     """
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if _ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, have)])
-        for name, value in _MALLOC.items():
-            env.setdefault(name, value)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    ship(spark)
+    for name, value in _MALLOC.items():
+        if name not in os.environ:
+            spark.sparkContext.environment.setdefault(name, value)
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Where the session names none, as in local tests, a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="keyforge-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, deleted when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: its lineage ends here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def small(df: DataFrame, row_bytes: int | Column, limit: int | None = None) -> DataFrame:
     """A checkpointed df, marked for broadcast if its rows are small enough together.
 
