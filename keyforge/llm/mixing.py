@@ -22,30 +22,30 @@ GOOD, BAD, UNKNOWN, BUDGET_SHARE, SEED, RANGES = 1.0, 0.25, 0.5, 1.0, 17, 4096
 
 def tokens(text: Column) -> Column:
     """Number of whitespace-separated tokens; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit("\\S+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("\\S++")), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with __tokens, __key, __order (ties too) and __range."""
-    docs = docs.join(labels, docs.doc_id == labels.__id, "left").drop("__id")
-    weight = F.when(F.col("__quality") == 1, GOOD).when(F.col("__quality") == 0, BAD).otherwise(UNKNOWN)
+def _keyed(docs: DataFrame, labels: DataFrame, *kept: Column) -> DataFrame:
+    """(doc_id, source, key, order (ties too), range, *kept) of the documents with tokens."""
+    docs = docs.filter(F.col("text").rlike("\\S")).select("doc_id", "source", "text", *kept)
+    docs = docs.join(labels, docs.doc_id == labels.label_id, "left")
+    weight = F.when(F.col("label_quality") == 1, GOOD).when(F.col("label_quality") == 0, BAD).otherwise(UNKNOWN)
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5("text")), F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), name)), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
-    key = -F.log(u) / weight
-    return docs.select("*", tokens(F.col("text")).alias("__tokens"), key.alias("__key")).drop("__quality").withColumns({
-        "__order": F.struct("__key", F.col("doc_id"), F.xxhash64("text")),
-        "__range": F.floor(F.col("__key") / (1 + F.col("__key")) * RANGES),
+    return docs.withColumn("key", -F.log(u) / weight).drop("label_id", "label_quality").withColumns({
+        "order": F.struct("key", F.col("doc_id"), F.xxhash64("text")),
+        "range": F.floor(F.col("key") / (1 + F.col("key")) * RANGES),
     })
 
 
 def _labels(labels: DataFrame) -> DataFrame:
-    got = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__quality"))
+    got = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("label_quality"))
     return small(cut(got), 24)
 
 
 def _cutoffs(narrow: DataFrame, targets: DataFrame | None, share: float) -> DataFrame:
     """By source: whole epochs, the range in which the rest ends, and the last order taken in it."""
-    sums = cut(narrow.filter("__tokens > 0").groupBy("source", "__range").agg(F.sum("__tokens").alias("n")))
+    sums = cut(narrow.groupBy("source", "range").agg(F.sum("tokens").alias("n")))
     totals = sums.groupBy("source").agg(F.sum("n").alias("total"))
     if targets is None:
         plan = totals.withColumn("weight", F.lit(1.0))
@@ -56,20 +56,24 @@ def _cutoffs(narrow: DataFrame, targets: DataFrame | None, share: float) -> Data
     budget = F.floor(F.col("corpus") * F.lit(share) * F.col("weight") / F.col("weights"))
     plan = plan.crossJoin(every).withColumn("budget", budget)
     plan = plan.select(F.col("source").alias("s"), F.expr("budget div total").alias("epochs"), F.expr("budget % total").alias("rest"))
-    run = Window.partitionBy("source").orderBy("__range")
+    run = Window.partitionBy("source").orderBy("range")
     sums = sums.withColumn("upto", F.sum("n").over(run)).join(plan, F.col("source").eqNullSafe(F.col("s")))
-    ends = cut(sums.filter("upto > rest AND upto - n <= rest").select("s", "epochs", "rest", F.col("__range").alias("end"), (F.col("upto") - F.col("n")).alias("base")))
-    last = narrow.filter("__tokens > 0").join(small(ends, 64), F.col("source").eqNullSafe(F.col("s")) & (F.col("__range") == F.col("end")))
-    last = last.withColumn("upto", F.col("base") + F.sum("__tokens").over(Window.partitionBy("s", "end").orderBy("__order")))
-    last = last.filter("upto <= rest").groupBy(F.col("s").alias("s2")).agg(F.max("__order").alias("last"))
+    ends = cut(sums.filter("upto > rest AND upto - n <= rest").select("s", "epochs", "rest", F.col("range").alias("end"), (F.col("upto") - F.col("n")).alias("base")))
+    last = narrow.join(small(ends, 64), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("end")))
+    last = last.withColumn("upto", F.col("base") + F.sum("tokens").over(Window.partitionBy("s", "end").orderBy("order")))
+    last = last.filter("upto <= rest").groupBy(F.col("s").alias("s2")).agg(F.max("order").alias("last"))
     got = ends.join(last, F.col("s").eqNullSafe(F.col("s2")), "left")
-    return small(cut(got.select(*(F.col(c).alias(f"__{c}") for c in ("s", "epochs", "end", "last")))), 96)
+    return small(cut(got.select("s", "epochs", "end", "last")), 96)
 
 
 def _taken(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    part = (F.col("__range") < F.col("__end")) | ((F.col("__range") == F.col("__end")) & F.coalesce(F.col("__order") <= F.col("__last"), F.lit(False)))
-    got = rows.filter("__tokens > 0").join(cutoffs, F.col("source").eqNullSafe(F.col("__s")))
-    return got.withColumn("__copies", F.col("__epochs") + part.cast("long")).filter("__copies > 0")
+    part = (F.col("range") < F.col("end")) | ((F.col("range") == F.col("end")) & F.coalesce(F.col("order") <= F.col("last"), F.lit(False)))
+    return rows.join(cutoffs, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.col("epochs") + part.cast("long")).filter("copies > 0")
+
+
+def _narrow(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = _keyed(docs, labels)
+    return cut(rows.select("doc_id", "source", "key", "order", "range", tokens(F.col("text")).alias("tokens")))
 
 
 def sample(docs: DataFrame, labels: DataFrame, targets: DataFrame | None = None, share: float = BUDGET_SHARE) -> DataFrame:
@@ -87,10 +91,8 @@ def sample(docs: DataFrame, labels: DataFrame, targets: DataFrame | None = None,
     documents, null ids and null labels weigh UNKNOWN; of labels that repeat an id
     the least counts.
     """
-    narrow = _keyed(docs.select("doc_id", "source", "text"), _labels(labels)).drop("text")
-    narrow = cut(narrow)
-    got = _taken(narrow, _cutoffs(narrow, targets, share))
-    return got.select("doc_id", "source", F.col("__tokens").alias("tokens"), F.col("__copies").alias("copies"))
+    narrow = _narrow(docs, _labels(labels))
+    return _taken(narrow, _cutoffs(narrow, targets, share)).select("doc_id", "source", "tokens", "copies")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: DataFrame | None = None, share: float = BUDGET_SHARE) -> DataFrame:
@@ -99,10 +101,11 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: DataFrame | None = None,
     Columns of docs named tokens or copies are replaced.
     """
     labels = _labels(labels)
-    cutoffs = _cutoffs(cut(_keyed(docs.select("doc_id", "source", "text"), labels).drop("text")), targets, share)
-    got = _taken(_keyed(docs.drop("tokens", "copies"), labels), cutoffs)
+    cutoffs = _cutoffs(_narrow(docs, labels), targets, share)
     keep = [c for c in docs.columns if c not in ("tokens", "copies")]
-    return got.select(*keep, F.col("__tokens").alias("tokens"), F.col("__copies").alias("copies"))
+    # rows travel as one struct, so that no name of theirs is in the way; only tokens of what is taken are counted again
+    got = _taken(_keyed(docs, labels, F.struct(*keep).alias("row")), cutoffs)
+    return got.select("row.*", tokens(F.col("text")).alias("tokens"), "copies")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from test_duplicates import brute_components, corpus, frame, grams
 
 import corpus_pipeline
-from keyforge.llm import decontaminate, embedding_dedup, mixing, queries, secrets, warc
+from keyforge.llm import decontaminate, embedding_dedup, mixing, queries, secrets, toxicity, warc
 from keyforge.llm.common import table
 
 
@@ -322,6 +322,40 @@ def test_stages_on_ugly_tables(spark):
             got.count()
 
 
+def test_what_stages_keep_of_ugly_tables(spark):
+    """Extra columns of any name come through, and each row has its defined fate."""
+    odd = {c: F.lit(f"extra {c}") for c in ("row", "order", "range", "last", "s", "label_id", "tie", "place", "__key", "__tokens", "__rank")}
+    df = ugly.documents(spark).drop("tokens", "copies").withColumns(odd)
+    tox, near, leak, secret, mix = (stage for _, stage in corpus_pipeline.STAGES)
+    rows = ugly.rows(df)
+    kept = ugly.rows(tox(spark, df, ugly.SF))
+    toxic = {r.doc_id for r in toxicity.toxicity(df, table(spark, ugly.SF, "labels")).filter("toxic AND doc_id IS NOT NULL").collect()}
+    assert Counter(kept) == Counter(r for r in rows if r[0] not in toxic) and not toxic & {4, 5, 6, 13}
+    one = near(spark, df, ugly.SF).collect()
+    assert Counter(r.doc_id for r in one) == Counter([1, 4, 5, 6, 7, 9, 11, 12, 13, 14, 15, None, None]) and all(tuple(r) in rows for r in one)
+    items = benchmark(spark, [(1, " ".join(ugly.words(random.Random(5), 80)[10:40]))])  # in documents 1, 2 and 3, and where the id is null
+    assert Counter(ugly.rows(decontaminate.drop_contaminated(df, items))) == Counter(r for r in rows if r[0] not in (1, 2, 3))
+    assert Counter(ugly.rows(leak(spark, df, ugly.SF))) == Counter(rows) == Counter(ugly.rows(secret(spark, df, ugly.SF)))
+    mixed = mix(spark, df, ugly.SF).collect()
+    of = [c for c in df.columns]
+    assert mixed and all(tuple(r[c] for c in of) in rows and r.tokens == len(r.text.split()) and r.copies >= 1 for r in mixed)
+    equal = {(r.doc_id, r.text): r.copies for r in mixed}
+    assert all(equal[r.doc_id, r.text] == r.copies for r in mixed)  # equal rows are taken together
+    near_all = {(r.doc_id, r.text) for r in df.collect() if r.text and r.text.split()}
+    assert set(equal) <= near_all
+
+
+def test_equal_keys_are_ordered_by_id_then_text(spark, monkeypatch):
+    """With one key for all, the least ids are taken; without ids, the order of the texts' hashes decides, the same each time."""
+    monkeypatch.setattr(mixing.F, "log", lambda c: F.lit(-1.0))
+    df = spark.createDataFrame([(k, f"two words{k % 3}", "a") for k in range(20)], "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id for r in mixing.sample(df, ugly.labels(spark), share=0.5).collect()}
+    assert got == set(range(10))
+    none = df.withColumn("doc_id", F.lit(None).cast("long"))
+    first, again = ([r.text for r in mixing.mixed(none.repartition(n), ugly.labels(spark), share=0.5).collect()] for n in (2, 5))
+    assert Counter(first) == Counter(again) and len(set(first)) < 3
+
+
 def test_pipeline_by_stage(spark):
     """run() is the stages one after the other, and each stage's decision can be seen in its result."""
     docs = table(spark, ugly.SF, "documents")
