@@ -44,8 +44,11 @@ _DOT = ord(".")
 _RUN[_DOT] = False  # one between two of the others is part of a run
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-#: What names a short secret.
-_NAMES = re.compile(rb"""(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?key)["']?[ \t]{0,3}[:=]>?[ \t]{0,3}["'`]?([A-Za-z0-9_+/-]+(?:\.[A-Za-z0-9_+/-]+)*)""")
+_WORD_CODE = np.where(_LETTER, _CODE, _N - 1).astype(np.int32)  # the last begins and ends a word
+_OTHER = ~_LETTER & (_RUN | (np.arange(256) >= 128))
+#: What names a short secret, and what follows the '=' or ':' after it.
+_NAME = re.compile(rb"""(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|secret)[_-]?key)["']?[ \t]{0,3}\Z""")
+_VALUE = re.compile(rb"""[:=]>?[ \t]{0,3}["'`]?([A-Za-z0-9_+/-]+(?:\.[A-Za-z0-9_+/-]+)*)""")
 _SEPARATOR = np.isin(np.arange(256), [ord(c) for c in "_+/-."])
 #: Ranges of the Latin letters beyond ASCII, and of combining accents; of up to three bytes each.
 _LATIN = np.array([(0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x300, 0x36F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA787), (0xA78B, 0xA7FF), (0xAB30, 0xAB5A), (0xFB00, 0xFB06)])
@@ -253,27 +256,32 @@ def train(words: list[str], strings: int = TRAIN_STRINGS, seed: int = 5, kinds:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(context, n): how often each two letters of a word are followed by a third, or by its end."""
-    total = np.zeros(_N**3, np.int64)
+    total, held, used = np.zeros(_N**3, np.int64), np.empty(1 << 20, np.int32), 0
     for batch in batches:
-        for part in T.slices(batch):
+        for part in T.slices(batch, limit=len(held) // 8):  # arrays stay small, counts are taken of many together
             raw, offs = T.buffers(part.column("text"))
-            n = len(raw)
-            word, before = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-            word[:n] = _LETTER[raw]
-            before[1:] = word[:-1]
-            edge = np.zeros(n + 1, bool)
-            edge[offs] = True
-            s, e = np.flatnonzero(word & (~before | edge)), np.flatnonzero(before & (~word | edge))
-            other = np.append(~_LETTER[raw] & (_RUN[raw] | (raw >= 128)), False)  # part of something else than a word
-            fine = (e - s >= 4) & (edge[s] | ~other[s - 1]) & (edge[e] | ~other[e])
-            s, e = s[fine], e[fine]
-            size = e - s + 1
-            at = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            place = at - np.repeat(s, size)
-            code = np.where(place < np.repeat(e - s, size), _CODE[raw[np.minimum(at, max(n - 1, 0))]], _N - 1)
-            one, two = np.roll(code, 1), np.roll(code, 2)
-            one[place < 1], two[place < 2] = _N - 1, _N - 1
-            total += np.bincount((two * _N + one) * _N + code, minlength=_N**3)
+            raw = np.insert(raw, np.append(0, offs), 10)  # a line end around each text, two before the first
+            word = _LETTER[raw]
+            step = np.diff(word.view(np.int8))
+            s, e = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+            other = _OTHER[raw]  # part of something else than a word
+            fine = (e - s >= 4) & ~other[s - 1] & ~other[e]
+            change = np.zeros(len(raw) + 1, np.int8)
+            change[s[fine]] += 1
+            change[e[fine] + 1] -= 1
+            inside = np.cumsum(change, dtype=np.int8)[2:-1].astype(bool)  # letters, and the place after them
+            code = _WORD_CODE[raw]
+            one, two = code[1:-1], code[:-2]
+            got = (np.where(one == _N - 1, _N - 1, two) * np.int32(_N * _N) + one * np.int32(_N) + code[2:])[inside]
+            if used + len(got) > len(held):
+                total += np.bincount(held[:used], minlength=len(total))
+                used = 0
+            if len(got) > len(held):
+                total += np.bincount(got, minlength=len(total))
+            else:
+                held[used : used + len(got)] = got
+                used += len(got)
+    total += np.bincount(held[:used], minlength=len(total))
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"context": some, "n": total[some]})
 
@@ -350,9 +358,13 @@ def _runs(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _named(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) in bytes of the short candidates that are named."""
-    apart = np.insert(raw, offs[1:-1], 10) if len(offs) > 2 else raw  # a line end between texts
-    spans = [m.span(1) for m in _NAMES.finditer(apart.tobytes())]
-    at = np.array([x for x in spans if NAMED <= x[1] - x[0] < LEAST], np.int64).reshape(-1, 2)
+    apart = (np.insert(raw, offs[1:-1], 10) if len(offs) > 2 else raw).tobytes()  # a line end between texts
+    view, spans = np.frombuffer(apart, np.uint8), []
+    for p in np.flatnonzero((view == ord("=")) | (view == ord(":"))).tolist():
+        m = _VALUE.match(apart, p, p + LEAST + 8)
+        if m and NAMED <= m.end(1) - m.start(1) < LEAST and _NAME.search(apart[max(0, p - 24) : p]):
+            spans.append(m.span(1))
+    at = np.array(spans, np.int64).reshape(-1, 2)
     row = np.searchsorted(offs + np.arange(len(offs)), at[:, 0], "right") - 1
     at = at - row[:, None]
     fine = (at[:, 1] == offs[row + 1]) | ~_latin(raw)[at[:, 1]]
