@@ -98,3 +98,10 @@ def covered(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(s)) - 1
     return g[first], s[first], reach[last] - shift[last]
+
+
+#: Windows of 50 words in SQL: (d, p, h), document, first word and hash, by place.
+WINDOWS_SQL = """
+t AS (SELECT doc_id AS d, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT d, w, unnest(range(len(w) - 49)) AS p FROM t WHERE len(w) >= 50),
+v AS (SELECT d, p, md5(array_to_string(w[p + 1:p + 50], ' ')) AS h FROM i)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, warc
+from . import decontaminate, jaccard_join, mixing, substring_dedup, suffix_dedup, warc
 from .decontaminate import op7_decontaminate
 from .embedding_dedup import op8_embedding_dedup
 from .jaccard_join import op2_jaccard_join
@@ -36,4 +36,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op7_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
+    return {
+        "op2_jaccard_join": jaccard_join.SQL,
+        "op3_suffix_dedup": suffix_dedup.SQL,
+        "op4_mixing": mixing.SQL,
+        "op7_decontaminate": decontaminate.SQL,
+        "op9_substring_dedup": substring_dedup.SQL,
+        "op10_warc": warc.SQL,
+    }
