@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import cut, small
 
-#: Occurrences of an anchor that are worked on together.
-HOT = 1 << 17
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -63,14 +61,14 @@ def _anchors(length: int, k: int):
     return run
 
 
-def with_repeats(docs: DataFrame, length: int, k: int) -> DataFrame:
+def with_repeats(docs: DataFrame, length: int, k: int, most: int) -> DataFrame:
     """(doc_id, text, words, hot) of documents (texts()) with anchors that occur more than once: their places.
 
-    hot has, for anchors with more than HOT occurrences, their place and into how many parts the occurrences are split.
+    hot has, for anchors with more than `most` occurrences, their place and into how many parts the occurrences are split.
     """
     anchors = docs.mapInArrow(_anchors(length, k), "hash long, doc_id long, word int")
     again = anchors.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).filter("n > 1")
-    hot = F.when(F.col("n") > HOT, F.struct("word", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    hot = F.when(F.col("n") > most, F.struct("word", F.ceil(F.col("n") / most).cast("int").alias("parts")))
     places = cut(again.groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words"), F.collect_list(hot).alias("hot")))
     return docs.join(small(places, 32 + 4 * F.size("words") + 8 * F.size("hot")), "doc_id")
 
@@ -86,6 +84,21 @@ def chosen(part: pa.RecordBatch, length: int, k: int):
     return words, row[keep], anchor[keep], first[keep], count[keep], h[keep]
 
 
+def parts_of(part: pa.RecordBatch, row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Into how many parts the occurrences of each chosen anchor are split."""
+    hot = part.column("hot")
+    size = hot.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.ones(len(row), np.int64)
+    if size.sum():
+        word, parts = (x.to_numpy() for x in hot.flatten().flatten())
+        at = np.repeat(np.arange(part.num_rows), size) * (1 << 40) + word
+        order = np.argsort(at)
+        mine = row * (1 << 40) + anchor
+        k = np.minimum(np.searchsorted(at[order], mine), len(at) - 1)
+        out = np.where(at[order][k] == mine, parts[order][k], 1)
+    return out
+
+
 def covered(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, start, end) of the unions of spans that touch or overlap within a group."""
     if not len(start):
