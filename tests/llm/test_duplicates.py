@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_text import split
 
-from keyforge.llm import anchors, components, jaccard_join, substring_dedup, suffix_dedup
+from keyforge.llm import components, jaccard_join, substring_dedup, suffix_dedup
 from keyforge.llm.common import table
 
 
@@ -214,8 +214,9 @@ def brute_repeats(docs, length):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize(("length", "anchor"), [(8, 4), (12, 3), (5, 5)])
-def test_suffix_repeats(spark, seed, length, anchor):
+@pytest.mark.parametrize(("length", "anchor", "hot"), [(8, 4, 2048), (12, 3, 2048), (5, 5, 2048), (8, 4, 3), (5, 5, 1)])
+def test_suffix_repeats(spark, monkeypatch, seed, length, anchor, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     docs = corpus(seed)
     got = defaultdict(set)
     for r in suffix_dedup.repeats(frame(spark, docs), length, anchor).collect():
@@ -225,6 +226,17 @@ def test_suffix_repeats(spark, seed, length, anchor):
     assert got == brute_repeats(docs, length)
 
 
+def test_lone_windows_in_many_batches():
+    """The first occurrence is carried from batch to batch, and texts whose hashes collide are apart."""
+    schema = pa.schema([("hash", pa.int64()), ("alone", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.int64()), ("segment", pa.string())])
+    rows = [(1, True, d, 0, "a b") for d in range(5)] + [(2, True, d, 1, "c d") for d in range(3)] + [(2, True, d, 7, "e f") for d in range(2)] + [(3, True, 9, 9, "g h")]
+    want = [(d, 0, 0, 2) for d in range(1, 5)] + [(1, 0, 1, 3), (2, 0, 1, 3), (1, 0, 7, 9)]
+    for size in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + size]), schema)], schema=schema) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in suffix_dedup._shards(2)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def brute_maximal(docs, length):
     """Rows of maximal_repeats(): each window with the occurrence before it, extended both ways."""
     places = defaultdict(list)
@@ -247,7 +259,7 @@ def brute_maximal(docs, length):
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize(("length", "anchor", "hot"), [(8, 4, 1 << 17), (12, 3, 1 << 17), (8, 4, 2)])
 def test_substring_repeats(spark, monkeypatch, seed, length, anchor, hot):
-    monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     docs = corpus(seed) | {500: " ".join(["la"] * 50), 501: " ".join(["x", *["la"] * 30, "y"] * 2)}
     rows = [tuple(r) for r in substring_dedup.maximal_repeats(frame(spark, docs), length, anchor).collect()]
     assert len(set(rows)) == len(rows) and set(rows) == brute_maximal(docs, length)
