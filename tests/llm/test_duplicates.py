@@ -214,7 +214,7 @@ def brute_repeats(docs, length):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize(("length", "anchor", "hot"), [(8, 4, 2048), (12, 3, 2048), (5, 5, 2048), (8, 4, 3), (5, 5, 1)])
+@pytest.mark.parametrize(("length", "anchor", "hot"), [(8, 4, 1 << 14), (12, 3, 1 << 14), (5, 5, 1 << 14), (8, 4, 3), (5, 5, 1)])
 def test_suffix_repeats(spark, monkeypatch, seed, length, anchor, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     docs = corpus(seed)
