@@ -5,50 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Key ranges by which ids are assigned, and keys sampled for their bounds. Fewer keys than that are one range.
-RANGES, SAMPLE = 512, 10_000
+from ..shared import cut
 
+_PLACES = 33  # bits of a row's place within its partition in monotonically_increasing_id
 
-def _bounds(keys: DataFrame, key: str, ranges: int, sample: int) -> list[str]:
-    """Keys, ranges - 1 at most, that cut the keys into about equal ranges, from those of least hash."""
-    found = sorted(r[0] for r in keys.select(key).orderBy(F.xxhash64(key)).limit(sample).collect())
-    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if len(found) == sample else []
 
-
-def _range_of(key: Column, bounds: list[str]) -> Column:
-    """How many bounds are at most the key: of a root of them first, then between two of these."""
-    step = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    literal = lambda x: F.array(*map(F.lit, x))
-    upto = lambda x: F.size(F.filter(x, lambda b: b <= key))
-    coarse = upto(literal(g[0] for g in groups))
-    fine = upto(F.get(F.array(*map(literal, groups)), coarse - 1))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
-
-
-def dense_ids(keys: DataFrame, key: str = "old_uuid", high_water: int | Column = 0, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
+def dense_ids(keys: DataFrame, key: str = "old_uuid", high_water: int | Column = 0, ranges: int | None = None) -> DataFrame:
     """Each distinct key, with new_id: high_water + 1, +2, ... in the order of the keys.
 
-    Two levels instead of one global sort: the keys are cut into ranges of about as many each,
-    whatever they look like (random, ordered in time, with a common prefix), and numbered
-    within them; the ranges' counts give each its first id. The keys are shuffled once, and
-    that also finds repeated ones. Ids depend only on the keys, not on ranges. Null keys are dropped.
+    The keys are cut into as many ranges as there are shuffle partitions, by Spark's sample of them, so
+    that no range is large whatever the keys look like (random, ordered in time, with a common prefix). Each is
+    sorted by a task, which numbers it; the ranges' counts give each its first id. The
+    numbered keys are kept once in the shared folder, so that counts and numbers agree. Ids depend only on
+    the keys, not on ranges. Null keys are dropped.
     """
-    rows = keys.select(key).filter(F.col(key).isNotNull())
-    bounds = _bounds(rows, key, ranges, sample)
-    rows = rows.withColumn("__range", _range_of(F.col(key), bounds) if bounds else F.lit(0))
-    by = Window.partitionBy("__range").orderBy(key)
-    rows = rows.withColumns({"__place": F.dense_rank().over(by).cast("long"), "__before": F.lag(key).over(by)})
-    base = (high_water if isinstance(high_water, Column) else F.lit(high_water)).cast("long")
-    new = F.col("__before").isNull() | (F.col("__before") != F.col(key))
-    if not bounds:
-        return rows.filter(new).select(key, (base + F.col("__place")).alias("new_id"))
-    counts = rows.groupBy("__range").agg(F.max("__place").alias("__n"))
-    # a row for each range, RANGES at most: one task suffices, and they are broadcast
+    n = ranges or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keys.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(n, key).sortWithinPartitions(key)
+    rows = cut(rows.withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.select(key, F.shiftright("__at", _PLACES).alias("__range"), F.col("__at").bitwiseAND((1 << _PLACES) - 1).alias("__place"))
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    # a row for each range: one task suffices, and they are broadcast
     upto = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("__range", F.coalesce(upto, F.lit(0)).alias("__start"))
-    got = rows.filter(new).join(F.broadcast(starts), "__range")
-    return got.select(key, (base + F.col("__start") + F.col("__place")).alias("new_id"))
+    base = (high_water if isinstance(high_water, Column) else F.lit(high_water)).cast("long")
+    return rows.join(F.broadcast(starts), "__range").select(key, (base + F.col("__start") + F.col("__place") + 1).alias("new_id"))
 
 
 def build(table: str, keys: DataFrame, high_water: int = 0) -> DataFrame:
