@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from keyforge.operators import cdc, mapping
 from keyforge.operators.rekey import Strategy, hybrid, remap
 from keyforge.plans.migrate import BATCHES, INDEXES, Migration, full_cycle, suite
 from keyforge.schema import TableSpec
-from keyforge.shared import scratch, shared_dir
+from keyforge.shared import is_local, scratch, shared_dir
 from keyforge.sources import pgoutput, run_logs, store as store_module
 from keyforge.sources.store import Conflict, Store
 from keyforge.streaming.replicate import MAPPING, REJECTS, apply_messages, apply_rekeyed, drop_replication, follow, replicate_rekeyed
@@ -295,3 +296,9 @@ def test_suite_and_logs(spark, tmp_path):
 def test_the_shared_folder(spark):
     assert shared_dir(spark) and scratch(spark, "x") != scratch(spark, "x")
     assert full_cycle and spark.sparkContext._jsc.sc().conf().get("spark.cleaner.referenceTracking.cleanCheckpoints") == "true"
+
+
+def test_a_local_cluster_shares_this_machine():
+    of = lambda master: is_local(SimpleNamespace(sparkContext=SimpleNamespace(master=master)))
+    assert of("local[4]") and of("local") and of("local-cluster[3,2,1024]")
+    assert not of("yarn") and not of("spark://host:7077") and not of("k8s://host")
