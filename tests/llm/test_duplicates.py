@@ -273,6 +273,36 @@ def test_lone_windows_in_many_batches():
         assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize(("seed", "length", "anchor"), [(1, 8, 4), (2, 5, 5), (3, 12, 3)])
+def test_all_pairs_of_a_repeat_follow_from_the_rows(spark, seed, length, anchor):
+    """Places that rows connect, word by word, are all those with equal windows, in any two documents, and no others."""
+    docs = corpus(seed)
+    follows(docs, substring_dedup.maximal_repeats(frame(spark, docs), length, anchor).collect(), length)
+
+
+def follows(docs, rows, length):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        for i in range(r.words - length + 1):
+            x, y = find((r.doc_id, r.start + i)), find((r.other_doc_id, r.other_start + i))
+            root[max(x, y)] = min(x, y)
+    got, want = defaultdict(set), defaultdict(set)
+    for x in root:
+        got[find(x)].add(x)
+    for k, text in docs.items():
+        w = split(text)
+        for i in range(len(w) - length + 1):
+            want[tuple(w[i : i + length])].add((k, i))
+    want = [at for at in want.values() if len(at) > 1]
+    assert want and sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
 def brute_maximal(docs, length):
     """Rows of maximal_repeats(): each window with the occurrence before it, extended both ways."""
     places = defaultdict(list)
