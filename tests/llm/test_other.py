@@ -35,6 +35,22 @@ def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("rows, batches", [(None, 4), (500, 2)])
+def test_few_texts_are_read_at_once(spark, tmp_path, rows, batches):
+    """4096 long texts in a batch fill a task's memory; a session's own setting stays."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.range(1000).selectExpr("id AS doc_id", "repeat('a ', 10) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    own = spark.newSession()
+    if rows:
+        own.conf.set(name, rows)
+    ran = table(own, str(tmp_path), "documents")._jdf.queryExecution()
+    assert ran.toRdd().count() == 1000
+    node = ran.executedPlan()
+    while node.nodeName() != "ColumnarToRow":
+        node = node.children().head()
+    assert node.metrics().get("numInputBatches").get().value() == batches
+
+
 # decontamination
 
 
