@@ -183,6 +183,19 @@ def test_near_vectors(spark):
     assert all((rep[k] == rep[j]) <= (want[k] == want[j]) for k, j in rng.integers(0, 600, (2000, 2)).tolist())
 
 
+def test_vectors_in_rounds(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(50), "v": pa.array(np.random.default_rng(5).normal(size=(50, 4)).astype(np.float32).tolist(), pa.list_(pa.float32()))})
+    held = type("Held", (), {"value": np.random.default_rng(6).normal(size=(7, 4)).astype(np.float32)})
+    cells = lambda rounds, at: [(c, i) for b in embedding_dedup._cells(held, 3, rounds, at)([batch]) for c, i in zip(b.column("cell").to_pylist(), b.column("id").to_pylist())]
+    parts = [cells(3, at) for at in range(3)]
+    assert len(cells(1, 0)) == 150 and sorted(sum(parts, [])) == sorted(cells(1, 0)) and all(c % 3 == at for at in range(3) for c, _ in parts[at])
+    freed = []
+    monkeypatch.setattr(embedding_dedup, "ROUND_BYTES", 0)
+    monkeypatch.setattr(embedding_dedup, "tidy", freed.append)
+    test_near_vectors(spark)
+    assert len(freed) == 4
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [5.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (8, [None, 1.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0]), (9, [1.0, 0.01])]
