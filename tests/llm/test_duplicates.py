@@ -161,6 +161,17 @@ def test_split_buckets_give_the_same_pairs(spark, monkeypatch, block):
     assert ugly.rows(jaccard_join.jaccard_join(df)) == want and ugly.rows(jaccard_join.drop_near_duplicates(df)) == kept
 
 
+def test_large_parts_are_sent_in_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    base = ugly.words(rng, 60)
+    docs = corpus(6, 30) | {k: " ".join("edit" if i == k - 100 else w for i, w in enumerate(base)) for k in range(100, 140)}
+    rounds, run = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(jaccard_join, "_verified", lambda *a: rounds.append(a) or run(*a))
+    got = [tuple(r) for r in jaccard_join.jaccard_classes(frame(spark, docs)).collect()]
+    assert len(rounds) >= 2 and set(got) == classes(docs, similar(docs, 3, 0.5))
+
+
 def test_copies_cost_a_row_each(spark):
     docs = {k: f"the same words for {k % 3} documents of a crowd" for k in range(300)}
     got = jaccard_join.jaccard_join(frame(spark, docs)).filter("jaccard = 1").collect()
