@@ -53,14 +53,18 @@ def _chains(spark, d):
     return M.rekey_chain(spark.createDataFrame(_CHAIN, "table_name string, lsn long, old_uuid string, new_uuid string"))
 
 
+#: Files of a feed that a batch takes: all, as files come in no order of positions. How many they are goes with the feed, and each is a task's work.
+ALL = 1 << 30
+
+
 def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     """The feed as files, streamed twice over into a store: the same table as applying it once."""
     root = scratch(spark, "replay")
     store = Store(spark, f"{root}/tables")
     store.replace("customer", _target(spark, d))
-    change_feed(spark, d).repartitionByRange(4, "lsn").write.mode("overwrite").parquet(f"{root}/feed")
+    change_feed(spark, d).repartitionByRange("lsn").write.mode("overwrite").parquet(f"{root}/feed")
     for k in range(2):
-        query = replicate(spark, f"{root}/feed", store, ["customer"], f"{root}/checkpoint{k}")
+        query = replicate(spark, f"{root}/feed", store, ["customer"], f"{root}/checkpoint{k}", files=ALL)
         query.awaitTermination()
     return store.read("customer")
 

@@ -13,7 +13,7 @@ from ..sources.legacy import batch_log, change_feed, legacy, read
 from ..sources.store import Store
 from ..streaming.replicate import replicate_rekeyed
 from .migrate import Migration, generate
-from .queries_cdc import _FEED
+from .queries_cdc import _FEED, ALL
 from .queries_keys import rekeyed_sql
 from .queries_meta import _LATEST, _log
 from .queries_metrics import _LOG, _ops, _samples, _OPS
@@ -118,10 +118,10 @@ def _replicated(spark, d):
     """Raw messages, streamed twice over onto re-keyed customers."""
     m = _copied(spark, d, ["nation", "customer"])
     folder = scratch(spark, "feed")
-    _messages(spark, d).repartition(4, "lsn").write.mode("overwrite").parquet(folder)
+    _messages(spark, d).repartition("lsn").write.mode("overwrite").parquet(folder)
     order = [m.by_name[t] for t in m.scope().order]
     for k in range(2):
-        replicate_rekeyed(spark, folder, m.target, order, f"{folder}-checkpoint{k}", raw=True).awaitTermination()
+        replicate_rekeyed(spark, folder, m.target, order, f"{folder}-checkpoint{k}", raw=True, files=ALL).awaitTermination()
     return m.target
 
 

@@ -12,6 +12,7 @@ from test_migrate import SPECS, _ids, _more, stores  # noqa: F401
 from keyforge.functions.scalars import legacy_uuid
 from keyforge.operators import cdc, mapping
 from keyforge.operators.rekey import Strategy, hybrid, remap
+from keyforge.plans import queries_cdc, queries_runs
 from keyforge.plans.migrate import BATCHES, INDEXES, Migration, full_cycle, suite
 from keyforge.schema import TableSpec
 from keyforge.shared import is_local, scratch, shared_dir
@@ -302,3 +303,19 @@ def test_a_local_cluster_shares_this_machine():
     of = lambda master: is_local(SimpleNamespace(sparkContext=SimpleNamespace(master=master)))
     assert of("local[4]") and of("local") and of("local-cluster[3,2,1024]")
     assert not of("yarn") and not of("spark://host:7077") and not of("k8s://host")
+
+
+@pytest.mark.parametrize("query, module, starts", [("stream_replay", queries_cdc, "replicate"), ("rekeyed_replay", queries_runs, "replicate_rekeyed")])
+def test_a_larger_feed_has_more_files(spark, monkeypatch, query, module, starts):
+    files, real = [], getattr(module, starts)
+    monkeypatch.setattr(module, starts, lambda s, folder, *a, **k: files.append(len(s.read.parquet(folder).inputFiles())) or real(s, folder, *a, **k))
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert module.CATALOGUE[query][0](spark, "/root/testdata/sf0.001").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) == 2 and min(files) > 8  # four files, before, whatever the feed's size
