@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cdc
 from ..operators import mapping as M
-from ..operators.rekey import split_missing
 from ..schema import TableSpec
 from ..sources import pgoutput
 from ..sources.store import Store
@@ -50,10 +49,38 @@ def _asked(rows: DataFrame) -> DataFrame:
     return keyed.select("key").unionByName(keyed.select(F.col("old_key").alias("key")))
 
 
+def _seen(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(key): keys that exist, or come in the batch by inserts and key changes."""
+    return known.select("key").unionByName(cdc.key_of(rows).filter("op = 'I'").select("key")).unionByName(cdc.key_changes(rows).select(F.col("new_uuid").alias("key"))).distinct()
+
+
 def _unknown(rows: DataFrame, known: DataFrame, table: str) -> DataFrame:
     """(lsn, table_name, op, error) of updates and deletes of keys that neither exist nor come in the batch."""
-    seen = known.select("key").unionByName(cdc.key_of(rows).filter("op = 'I'").select("key")).unionByName(cdc.key_changes(rows).select(F.col("new_uuid").alias("key")))
-    return cdc.results(rows, seen.distinct().withColumn("table_name", F.lit(table))).filter("NOT success").drop("success")
+    return cdc.results(rows, _seen(rows, known).withColumn("table_name", F.lit(table))).filter("NOT success").drop("success")
+
+
+def _checked(rows: DataFrame, known: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
+    """rows with ids as foreign keys, whether a record is wrong, and its error: an unknown key, or a parent without an id.
+
+    sides: (key, new_id) of the parent of each foreign key. One join for the key and one for each parent, as records hold whole rows.
+    """
+    names = rows.columns
+    got = cdc.key_of(rows).drop("key").join(_seen(rows, known).select(F.col("key").alias("__seen")), F.col("old_key") == F.col("__seen"), "left")
+    unknown = F.coalesce((F.col("op") != "I") & F.col("__seen").isNull(), F.lit(False))
+    lives, faults = F.col("op") != "D", []
+    for k, (c, side) in enumerate(sides.items()):
+        key = F.when(lives, F.element_at("new", F.lit(c)))
+        got = got.join(side.select(F.col("key").alias(f"__old{k}"), F.col("new_id").alias(f"__new{k}")), key == F.col(f"__old{k}"), "left")
+        faults.append(F.when(key.isNotNull() & F.col(f"__new{k}").isNull(), F.concat(F.lit(f"{c}="), key)))
+    missing = F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>")
+    new = F.col("new")
+    if sides:
+        ids = F.map_from_entries(F.array(*(F.struct(F.lit(c), F.col(f"__new{k}").cast("string")) for k, c in enumerate(sides))))
+        rest = F.map_filter("new", lambda c, _: ~c.isin(*sides))
+        new = F.when(lives, F.map_concat(rest, F.map_filter(ids, lambda c, _: F.map_contains_key("new", c))))
+    error = F.when(unknown, F.concat(F.lit("no mapping for "), "table_name", F.lit("."), "old_key")).otherwise(F.concat(F.lit("no mapping for "), F.array_join(missing, ", ")))
+    wrong = unknown | (F.size(missing) > 0)
+    return got.select(*(new.alias(c) if c == "new" else F.col(c) for c in names), wrong.alias("wrong"), F.when(wrong, error).alias("error"))
 
 
 def _records(table: str, lsn: Column | str, op: Column | str, old: Column, new: Column) -> list[Column]:
@@ -61,6 +88,7 @@ def _records(table: str, lsn: Column | str, op: Column | str, old: Column, new:
 
 
 _NONE = "map<string,string>"
+_NEVER = (1 << 63) - 1
 
 
 def apply_batch(store: Store, tables: list[str], batch: DataFrame) -> dict[str, int]:
@@ -132,31 +160,25 @@ def apply_rekeyed(store: Store, specs: list[TableSpec], batch: DataFrame) -> dic
                     continue
                 mapping = store.read(MAPPING + table).select(F.col("old_uuid").alias("key"), "new_id")
                 known = _only(mapping, _asked(rows), n).persist()
-                bad = _unknown(rows, known, table)
-                good = rows.join(bad.select("lsn"), "lsn", "left_anti")
                 # foreign keys, by the mappings as this batch leaves them
                 parents = {c: p for c, p in spec.parents.items() if store.exists(MAPPING + p)}
-                if parents:
-                    flat = good.filter("op <> 'D'").select("lsn", "op", *(F.element_at("new", F.lit(c)).alias(c) for c in parents))
-                    side = None
-                    for c, p in parents.items():
-                        of = mappings[p] if p in mappings else store.read(MAPPING + p).select("table_name", "old_uuid", "new_id")
-                        got = _only(of.withColumnRenamed("old_uuid", "key"), flat.select(F.col(c).alias("key")), n).withColumnRenamed("key", "old_uuid")
-                        side = got if side is None else side.unionByName(got)
-                    fine, lost = split_missing(flat, side.distinct(), parents)
-                    bad = bad.unionByName(lost.select("lsn", F.lit(table).alias("table_name"), "op", F.concat(F.lit("no mapping for "), F.array_join("missing", ", ")).alias("error")))
-                    ids = fine.select("lsn", F.map_from_entries(F.array(*(F.struct(F.lit(c), F.col(c).cast("string")) for c in parents))).alias("fk"))
-                    good = good.join(lost.select("lsn"), "lsn", "left_anti").join(ids, "lsn", "left")
-                    have = F.map_filter("fk", lambda k, _: F.map_contains_key("new", k))
-                    good = good.withColumn("new", F.when(F.col("op") != "D", F.map_concat(F.map_filter("new", lambda k, _: ~k.isin(*parents)), F.coalesce(have, F.create_map().cast(_NONE))))).drop("fk")
-                good = good.persist()
+                sides = {}
+                for c, p in parents.items():
+                    of = mappings[p] if p in mappings else store.read(MAPPING + p).select("table_name", "old_uuid", "new_id")
+                    asked = rows.filter("op <> 'D'").select(F.element_at("new", F.lit(c)).alias("key"))
+                    sides[c] = _only(of.withColumnRenamed("old_uuid", "key"), asked, n).select("key", "new_id").distinct()
+                checked = _checked(rows, known, sides).persist()
+                bad = checked.filter("wrong").select("lsn", "table_name", "op", "error")
+                good = checked.filter("NOT wrong").drop("wrong", "error")
                 keyed = cdc.key_of(good).select("key", F.col("lsn").alias("at"), F.col("lsn").alias("record"))
                 moves = cdc.key_changes(good).select("lsn", "old_uuid", "new_uuid")
                 after = known.withColumn("old_uuid", F.col("key"))
-                if not moves.isEmpty():
+                if moves.isEmpty():
+                    final = cdc.key_of(good).withColumnRenamed("key", "final")
+                else:
                     keyed = follow(keyed, moves)
                     after = follow(after.withColumn("at", F.lit(-1).cast("long")), moves).drop("at")
-                final = good.join(keyed.select(F.col("record").alias("lsn"), F.col("key").alias("final")), "lsn")
+                    final = good.join(keyed.select(F.col("record").alias("lsn"), F.col("key").alias("final")), "lsn")
                 name = F.create_map(F.lit("id"), "final")
                 net = cdc.net(final.select(*_records(table, "lsn", "op", name, F.map_concat(F.map_filter("new", lambda k, _: k != "id"), name)))).persist()
                 # a mapping row goes with its key; keys without one get ids
@@ -178,6 +200,16 @@ def apply_rekeyed(store: Store, specs: list[TableSpec], batch: DataFrame) -> dic
     return done
 
 
+def _ahead(store: Store, specs: list[TableSpec], messages: DataFrame, known: DataFrame) -> DataFrame:
+    """The messages that may hold a row beyond its table's position: the others needn't be decoded."""
+    done, at = {s.name: store.position(s.name) for s in specs}, {}
+    for r in known.select("relation_id", "table_name").distinct().collect():
+        at[r.relation_id] = min(at.get(r.relation_id, _NEVER), done.get(r.table_name, _NEVER))
+    rid = F.conv(F.hex(F.substring("data", 2, 4)), 16, 10).cast("long")
+    after = F.coalesce(*(F.when(rid == k, F.lit(v)) for k, v in at.items()), F.lit(_NEVER))
+    return messages.filter((F.octet_length("data") < 5) | (F.col("lsn") > after))
+
+
 def apply_messages(store: Store, specs: list[TableSpec], messages: DataFrame) -> dict[str, int]:
     """Apply a batch of raw messages (pgoutput.SCHEMA) to re-keyed tables.
 
@@ -190,7 +222,7 @@ def apply_messages(store: Store, specs: list[TableSpec], messages: DataFrame) ->
         if not new.isEmpty():
             store.append(RELATIONS, new)  # before the rows: a batch that is tried again adds the same ones
         known = store.read(RELATIONS) if store.exists(RELATIONS) else new
-        return apply_rekeyed(store, specs, pgoutput.decode_messages(messages, known))
+        return apply_rekeyed(store, specs, pgoutput.decode_messages(_ahead(store, specs, messages, known), known))
     finally:
         messages.unpersist()
 

@@ -18,6 +18,7 @@ from keyforge.schema import TableSpec
 from keyforge.shared import is_local, scratch, shared_dir
 from keyforge.sources import pgoutput, run_logs, store as store_module
 from keyforge.sources.store import Conflict, Store
+from keyforge.streaming import replicate as replicate_module
 from keyforge.streaming.replicate import MAPPING, REJECTS, apply_messages, apply_rekeyed, drop_replication, follow, replicate_rekeyed
 
 
@@ -319,3 +320,19 @@ def test_a_larger_feed_has_more_files(spark, monkeypatch, query, module, starts)
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(files) == 2 and min(files) > 8  # four files, before, whatever the feed's size
+
+
+def test_messages_that_are_done_are_not_decoded(spark, stores, monkeypatch):
+    """And a batch's records are joined with keys and parents once, not with themselves."""
+    source, target = stores
+    Migration(spark, source, target, SPECS).copy()
+    r = [(1, pgoutput.encode_relation(7, "orders", ["id", "status", "user_id"])), (2, pgoutput.encode_relation(8, "other", ["id"]))]
+    change = spark.createDataFrame([(k, "orders", "I", None, None, {"id": f"n{k}", "status": "s", "user_id": user}) for k, user in ((3, "none"), (4, None))], cdc.SCHEMA)
+    messages = spark.createDataFrame([(k, None, x) for k, x in r], pgoutput.SCHEMA).unionByName(pgoutput.encode_rows(change, 7, ["id", "status", "user_id"]))
+    decoded, joined, real, checked = [], [], pgoutput.decode_messages, replicate_module._checked
+    monkeypatch.setattr(pgoutput, "decode_messages", lambda m, known: decoded.append(m.filter("lsn > 2").count()) or real(m, known))
+    monkeypatch.setattr(replicate_module, "_checked", lambda *a: joined.append(checked(*a)) or joined[-1])
+    orders = [s for s in SPECS if s.name == "orders"]
+    assert apply_messages(target, orders, messages) == {"orders": 2} and apply_messages(target, orders, messages) == {}
+    assert decoded == [2, 0] and len(joined) == 1
+    assert rows(joined[0].select("lsn", "wrong", "error")) == [(3, True, "no mapping for user_id=none"), (4, False, None)]
