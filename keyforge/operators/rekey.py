@@ -14,7 +14,7 @@ class Strategy(Enum):
     EAGER = "broadcast"  #: of a mapping whose size was checked
     LAZY = "shuffle_hash"
     SORTED = "merge"
-    HYBRID = None  #: broadcast for pinned tables, else left to the optimizer and its statistics
+    HYBRID = None  #: broadcast for pinned tables and mappings that fit, else left to the optimizer and its statistics
 
 
 #: EAGER broadcasts a mapping whose keys and ids have at most so many bytes; a larger one is shuffled.
@@ -28,24 +28,48 @@ def hybrid(pinned: list[str]) -> dict[str, Strategy]:
     return dict.fromkeys(pinned, Strategy.EAGER)
 
 
+_UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
+
+
+def compact(key: Column) -> Column:
+    """A text key as bytes, which differ where texts do: 16 of a uuid in lower case, of any other text its own after 17 zeros."""
+    return F.when(key.rlike(_UUID), F.unhex(F.replace(key, F.lit("-")))).otherwise(F.concat(F.lit(bytes(17)), key.cast("binary")))
+
+
+def _fits(side: DataFrame) -> bool:
+    """Whether keys and ids of a mapping may be broadcast; a large one isn't read for this, if its statistics tell."""
+    return side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= EAGER_BYTES and _bytes(side) <= EAGER_BYTES
+
+
+def _bytes(side: DataFrame) -> int:
+    return side.agg(F.coalesce(F.sum(F.octet_length("__old") + 24), F.lit(0))).first()[0]
+
+
 def _side(mapping: DataFrame, table: str, strategy: Strategies) -> DataFrame:
     side = mapping.filter(F.col("table_name") == table).select(F.col("old_uuid").alias("__old"), F.col("new_id").alias("__new"))
     if isinstance(strategy, dict):
         strategy = strategy.get(table, Strategy.HYBRID)
     if strategy is Strategy.EAGER:
-        size = side.agg(F.coalesce(F.sum(F.octet_length("__old") + 24), F.lit(0))).first()[0]
-        return F.broadcast(side) if size <= EAGER_BYTES else side
+        return F.broadcast(side) if _bytes(side) <= EAGER_BYTES else side
     return side.hint(strategy.value) if strategy.value else side
 
 
 def remap(rows: DataFrame, mapping: DataFrame, parents: dict[str, str], strategy: Strategies = Strategy.HYBRID) -> DataFrame:
     """rows with each column of `parents` (column -> table) replaced by the id of its key.
 
-    A key without an id becomes null, as does null.
+    A key without an id becomes null, as does null. Rows are shuffled with their keys as bytes; a mapping that fits
+    is broadcast with any strategy but a shuffling one.
     """
     names = rows.columns
+    text = {c for c in parents if dict(rows.dtypes)[c] == "string"}
+    rows = rows.withColumns({c: compact(F.col(c)) for c in text})
     for column, table in parents.items():
-        rows = rows.join(_side(mapping, table, strategy), F.col(column) == F.col("__old"), "left")
+        side = _side(mapping, table, strategy)
+        own = strategy.get(table, Strategy.HYBRID) if isinstance(strategy, dict) else strategy
+        fits = own is Strategy.HYBRID and _fits(side)
+        if column in text:
+            side = side.withColumn("__old", compact(F.col("__old")))
+        rows = rows.join(F.broadcast(side) if fits else side, F.col(column) == F.col("__old"), "left")
         rows = rows.withColumn(column, F.col("__new")).drop("__old", "__new")
     return rows.select(names)
 

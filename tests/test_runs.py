@@ -11,6 +11,7 @@ from test_migrate import SPECS, _ids, _more, stores  # noqa: F401
 
 from keyforge.functions.scalars import legacy_uuid
 from keyforge.operators import cdc, mapping
+from keyforge.operators import rekey as rekey_module
 from keyforge.operators.rekey import Strategy, hybrid, remap
 from keyforge.plans import queries_cdc, queries_runs
 from keyforge.plans.migrate import BATCHES, INDEXES, Migration, full_cycle, suite
@@ -336,3 +337,23 @@ def test_messages_that_are_done_are_not_decoded(spark, stores, monkeypatch):
     assert apply_messages(target, orders, messages) == {"orders": 2} and apply_messages(target, orders, messages) == {}
     assert decoded == [2, 0] and len(joined) == 1
     assert rows(joined[0].select("lsn", "wrong", "error")) == [(3, True, "no mapping for user_id=none"), (4, False, None)]
+
+
+def test_keys_are_shuffled_as_bytes_and_small_mappings_are_not(spark, monkeypatch, tmp_path):
+    keys = ["00000000-0000-0000-0000-00000000000a", "00000000-0000-0000-0000-00000000000A", "0" * 32, "", "fifteen letters", "sixteen letters!", "\0" * 16, "é-key", "a\n00000000-0000-0000-0000-00000000000a", "00000000-0000-0000-0000-00000000000a\n"]
+    known = spark.createDataFrame([("t", k, i) for i, k in enumerate(keys) if i % 2 == 0], "table_name string, old_uuid string, new_id long")
+    known.write.parquet(f"{tmp_path}/known")
+    known = spark.read.parquet(f"{tmp_path}/known")
+    facts = spark.createDataFrame([(i, k) for i, k in enumerate([*keys, None])], "n long, k string")
+    want = [(i, i if i < len(keys) and i % 2 == 0 else None) for i in range(len(keys) + 1)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for most, join in ((0, "SortMergeJoin"), (1 << 20, "BroadcastHashJoin")):
+            monkeypatch.setattr(rekey_module, "EAGER_BYTES", most)
+            got = remap(facts, known, {"k": "t"})
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert join in plan and "unhex" in plan
+            assert rows(got) == rows(spark.createDataFrame(want, "n long, k long"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
